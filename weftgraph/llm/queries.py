@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from weftgraph.llm.quality import op1_quality
+from weftgraph.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from weftgraph.llm.langid import op2_language
 from weftgraph.llm.quality import op1_quality
 from weftgraph.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_language": op2_language,
     "op10_toxicity": op10_toxicity,
 }
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from weftgraph.llm.langid import op2_language
 from weftgraph.llm.quality import op1_quality
+from weftgraph.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from weftgraph.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
+    "op3_substring_dedup": op3_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftgraph.llm.jaccard_join import OP9_SQL, op9_jaccard_join
 from weftgraph.llm.langid import op2_language
 from weftgraph.llm.quality import op1_quality
 from weftgraph.llm.substring_dedup import OP3_SQL, op3_substring_dedup
@@ -11,9 +12,11 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_substring_dedup": op3_substring_dedup,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
     "op3_substring_dedup": OP3_SQL,
+    "op9_jaccard_join": OP9_SQL,
 }

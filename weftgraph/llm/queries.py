@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftgraph.llm.bpe import op8_bpe
 from weftgraph.llm.jaccard_join import OP9_SQL, op9_jaccard_join
 from weftgraph.llm.langid import op2_language
 from weftgraph.llm.quality import op1_quality
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_substring_dedup": op3_substring_dedup,
+    "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import arrow_limits, table
+from weftgraph.llm.common import arrow_limits, table, widened
 
 END = "</w>"
 CACHE_WORDS = 300_000
@@ -242,8 +242,8 @@ def encode(docs: DataFrame, vocabulary: str, *, digests: bool = False) -> DataFr
                 at, size = k + 1, 0
 
     docs = docs.select(*names)
-    schema = docs.schema.add(added[0], "long").add(added[1], "string" if digests else "array<int>").add(added[2], "string")
-    return docs.mapInArrow(run, schema)
+    kinds = ("long", "string" if digests else "array<int>", "string")
+    return docs.mapInArrow(run, widened(docs, **dict(zip(added, kinds))))
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows an Arrow batch may hold; with long texts a larger batch would not fit a worker.
 ARROW_ROWS = 1024
@@ -41,6 +42,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def widened(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` with columns added (a DataFrame's own schema object is shared,
+    and ``add`` would change it)."""
+    schema = StructType(list(df.schema.fields))
+    for name, kind in columns.items():
+        schema = schema.add(name, kind)
+    return schema
+
+
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast when its counted rows are within ``rows``; beyond
     that the join shuffles both sides and adaptive execution splits hot keys."""

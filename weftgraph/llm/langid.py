@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_limits, crc_class, table
+from weftgraph.llm.common import arrow_limits, crc_class, table, widened
 
 HIDDEN = 8
 SEGMENT = 96
@@ -238,7 +238,7 @@ def identify(docs: DataFrame, model: LangModel) -> DataFrame:
             )
 
     docs = docs.select(*names)
-    return docs.mapInArrow(run, docs.schema.add("lang_pred", "string").add("score", "double"))
+    return docs.mapInArrow(run, widened(docs, lang_pred="string", score="double"))
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:

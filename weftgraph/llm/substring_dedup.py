@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_limits, if_small, stored, table
+from weftgraph.llm.common import arrow_limits, if_small, stored, table, widened
 
 WINDOW = 35
 #: Short windows have a quarter of the length, rounded up: 9, 18, 35.
@@ -345,7 +345,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         .select("did", "th", F.col("s.first").alias("firsts"), F.col("s.mask").alias("masks"))
     )
     found = on_text(base, stored(spans, "spans"), "left").select(*names, "firsts", "masks")
-    schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    schema = widened(docs.select(*names), n_words="long", n_removed="long", kept_text="string")
     return found.mapInArrow(removal_rows(names), schema)
 
 

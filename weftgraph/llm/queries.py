@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftgraph.llm.bpe import op8_bpe
+from weftgraph.llm.html_extract import op7_html
 from weftgraph.llm.jaccard_join import OP9_SQL, op9_jaccard_join
 from weftgraph.llm.langid import op2_language
 from weftgraph.llm.quality import op1_quality
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_html": op7_html,
     "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_toxicity": op10_toxicity,

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,7 +173,7 @@ class Page:
 
 def pieces(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     at, size = 0, 0
-    for k, n in enumerate(pa.compute.utf8_length(batch.column(column)).to_pylist()):
+    for k, n in enumerate(pc.utf8_length(batch.column(column)).to_pylist()):
         size += n or 0
         if size >= PIECE_CHARS or k == batch.num_rows - 1:
             yield batch.slice(at, k + 1 - at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from weftgraph.llm.ann import op4_ann
 from weftgraph.llm.bpe import op8_bpe
 from weftgraph.llm.html_extract import op7_html
 from weftgraph.llm.jaccard_join import OP9_SQL, op9_jaccard_join
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_ann": op4_ann,
     "op7_html": op7_html,
     "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join,

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,7 +178,7 @@ def flat(batch: pa.RecordBatch, first: int, n: int, column: str) -> tuple[np.nda
     """(row within the piece, value) of a list column."""
     lists = batch.column(column).slice(first, n)
     values = lists.flatten()
-    sizes = np.array([0 if s is None else s for s in pa.compute.list_value_length(lists).to_pylist()], np.int64)
+    sizes = np.array([0 if s is None else s for s in pc.list_value_length(lists).to_pylist()], np.int64)
     return np.repeat(np.arange(n), sizes), values.to_numpy(zero_copy_only=False)
 
 

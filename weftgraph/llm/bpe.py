@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from weftgraph.llm.common import arrow_limits, table, widened
 
@@ -207,18 +208,37 @@ class Encoder:
             yield sum(f[1] for f in found), " ".join([f[0] for f in found]), " ".join([f[2] for f in found])
 
 
-def encode(docs: DataFrame, vocabulary: str, *, digests: bool = False) -> DataFrame:
-    """The rows of docs with n_tokens, ids (array<int>) and decoded text; with ``digests``
-    the SHA-256 of the ids' decimal text and of the decoded text instead, which spares the
-    result the long columns.  Null and empty texts have no tokens and decode to ''.
-    ``vocabulary`` is the path of the tokenizer's JSON file, which only the driver reads.
+#: What ``encode`` can add, and its types.
+OUTPUTS = {"n_tokens": "long", "ids": ArrayType(IntegerType()), "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def result(name: str, n: int, ids: str, decoded: str):
+    if name == "n_tokens":
+        return n
+    if name == "ids":
+        return np.array(ids.split(), np.int32)
+    if name == "decoded":
+        return decoded
+    return hashlib.sha256((ids if name == "ids_sha256" else decoded).encode()).hexdigest()
+
+
+def encode(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """The rows of docs with the outputs added (columns of these names are replaced): the
+    count of tokens, their ids, the decoded text, or SHA-256 digests of the ids' decimal
+    text and of the decoded text.
+
+    Null and empty texts have no tokens and decode to ''; repeated rows repeat; an empty
+    table gives an empty result.  ``vocabulary`` is the path of the tokenizer's JSON file,
+    which only the driver reads.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     with open(vocabulary, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    added = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("n_tokens", "ids", "decoded")
-    names = [c for c in docs.columns if c not in added]
+    names = [c for c in docs.columns if c not in outputs]
+    docs = docs.select(*names)
+    schema = widened(docs, **{c: OUTPUTS[c] for c in outputs})
+    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec.value)
@@ -230,25 +250,16 @@ def encode(docs: DataFrame, vocabulary: str, *, digests: bool = False) -> DataFr
                 if size < PIECE_CHARS and k < len(texts) - 1:
                     continue
                 part = batch.slice(at, k + 1 - at)
-                count, first, second = [], [], []
-                for n, ids, decoded in encoder.encode(texts[at : k + 1]):
-                    count.append(n)
-                    first.append(hashlib.sha256(ids.encode()).hexdigest() if digests else [int(x) for x in ids.split()])
-                    second.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(count, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())],
-                    [*names, *added],
-                )
+                rows = [[result(c, *found) for c in outputs] for found in encoder.encode(texts[at : k + 1])]
+                added = [pa.array([r[j] for r in rows], kinds.get(c, pa.string())) for j, c in enumerate(outputs)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*names, *outputs])
                 at, size = k + 1, 0
 
-    docs = docs.select(*names)
-    kinds = ("long", "string" if digests else "array<int>", "string")
-    return docs.mapInArrow(run, widened(docs, **dict(zip(added, kinds))))
+    return docs.mapInArrow(run, schema)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = encode(docs, public_tokenizers.path("word_bpe_49k.json"), digests=True)
-    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: Rows an Arrow batch may hold; with long texts a larger batch would not fit a worker.
 ARROW_ROWS = 1024
@@ -42,7 +42,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def widened(df: DataFrame, **columns: str) -> StructType:
+def widened(df: DataFrame, **columns: str | DataType) -> StructType:
     """The schema of ``df`` with columns added (a DataFrame's own schema object is shared,
     and ``add`` would change it)."""
     schema = StructType(list(df.schema.fields))

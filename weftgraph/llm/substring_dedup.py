@@ -33,7 +33,7 @@ QUARTER = 9
 HALF = 18
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Repeated anchors, or texts with candidates, that may be broadcast.
-SMALL_KEYS = 3_000_000
+SMALL_KEYS = 20_000
 SMALL_TEXTS = 400_000
 BATCH_BYTES = 2_000_000
 
@@ -341,7 +341,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
     masks = alone.unionByName(some).groupBy("h", "run").agg(F.expr("bit_or(mask)").alias("mask"))
     spans = (
-        runs.join(if_small(stored(masks, "masks"), SMALL_KEYS // 2), ["h", "run"])
+        runs.join(if_small(stored(masks, "masks"), SMALL_KEYS), ["h", "run"])
         .groupBy("did", "th").agg(F.collect_set(F.struct("first", "mask")).alias("s"))
         .select("did", "th", F.col("s.first").alias("firsts"), F.col("s.mask").alias("masks"))
     )

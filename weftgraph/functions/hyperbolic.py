@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weftgraph.functions.vectors import col, dot, norm, plus, scaled
+from weftgraph.functions.vectors import dot, let, norm, plus, scaled
 
 #: Norms are kept this far from 0 and from the ball's edge.
 TINY = 1e-15
@@ -15,21 +15,27 @@ EDGE = 4e-3
 def project(x: Column | str, c: float) -> Column:
     """x pulled back inside the ball."""
     limit = (1 - EDGE) / c**0.5
-    n = norm(x)
-    return F.when(n > limit, scaled(x, F.lit(limit) / n)).otherwise(col(x))
+    return let(x, lambda v: F.when(norm(v) > limit, scaled(v, F.lit(limit) / norm(v))).otherwise(v))
 
 
 def mobius_add(x: Column | str, y: Column | str, c: float) -> Column:
-    xy, x2, y2 = dot(x, y), dot(x, x), dot(y, y)
-    left = scaled(x, 1 + 2 * c * xy + c * y2)
-    right = scaled(y, 1 - c * x2)
-    return scaled(plus(left, right), 1 / F.greatest(1 + 2 * c * xy + c * c * x2 * y2, F.lit(TINY)))
+    def add(a: Column, b: Column) -> Column:
+        left = scaled(a, 1 + 2 * c * dot(a, b) + c * dot(b, b))
+        right = scaled(b, 1 - c * dot(a, a))
+        return scaled(plus(left, right), 1 / F.greatest(1 + 2 * c * dot(a, b) + c * c * dot(a, a) * dot(b, b), F.lit(TINY)))
+
+    return let(x, lambda a: let(y, lambda b: add(a, b)))
 
 
 def exp_map(v: Column | str, c: float) -> Column:
     """The exponential map at the origin."""
-    n = F.greatest(norm(v), F.lit(TINY))
-    return project(scaled(v, F.tanh(n * c**0.5) / (n * c**0.5)), c)
+    root = c**0.5
+
+    def mapped(a: Column) -> Column:
+        n = F.greatest(norm(a), F.lit(TINY))
+        return scaled(a, F.tanh(n * root) / (n * root))
+
+    return project(let(v, mapped), c)
 
 
 def distance(x: Column | str, y: Column | str, c: float) -> Column:

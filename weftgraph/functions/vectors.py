@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column | str, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed and planned once however often f uses it."""
+    return F.get(F.transform(F.array(col(x)), f), F.lit(0))
+
+
 def array_sum(x: Column | str) -> Column:
     return F.aggregate(col(x), F.lit(0.0), lambda a, v: a + v)
 
@@ -20,8 +25,12 @@ def dot(x: Column | str, y: Column | str) -> Column:
     return array_sum(F.zip_with(col(x), col(y), lambda a, b: a * b))
 
 
+def square(x: Column | str) -> Column:
+    return F.aggregate(col(x), F.lit(0.0), lambda a, v: a + v * v)
+
+
 def norm(x: Column | str) -> Column:
-    return F.sqrt(dot(x, x))
+    return F.sqrt(square(x))
 
 
 def scaled(x: Column | str, by: Column) -> Column:
@@ -42,8 +51,7 @@ def times(x: Column | str, y: Column | str) -> Column:
 
 def unit(x: Column | str) -> Column:
     """Scaled to length 1; a zero vector stays as it is."""
-    n = norm(x)
-    return F.when(n > 0, scaled(x, 1 / n)).otherwise(col(x))
+    return let(x, lambda v: F.when(norm(v) > 0, scaled(v, 1 / norm(v))).otherwise(v))
 
 
 def zeros(n: int) -> Column:
@@ -66,8 +74,8 @@ ACTIVATIONS = {
 
 def activate(x: Column | str, name: str) -> Column:
     if name == "softmax":
-        e = F.transform(col(x), lambda v: F.exp(v - F.array_max(col(x))))
-        return F.transform(e, lambda v: v / array_sum(e))
+        e = let(x, lambda a: F.transform(a, lambda v: F.exp(v - F.array_max(a))))
+        return let(e, lambda a: F.transform(a, lambda v: v / array_sum(a)))
     return F.transform(col(x), ACTIVATIONS[name])
 
 

@@ -57,22 +57,25 @@ def rotate(s: Column, phase: Column, o: Column, margin: float = 12.0) -> Column:
 
 def rotated(x: Column, angle: Column) -> Column:
     """Pairs of components turned by an angle each."""
-    n = F.size(angle)
-    turned = F.transform(F.sequence(F.lit(0), n * 2 - 1), lambda k: F.when(k % 2 == 0, F.cos(F.get(angle, (k / 2).cast("int"))) * F.get(x, k.cast("int")) - F.sin(F.get(angle, (k / 2).cast("int"))) * F.get(x, k.cast("int") + 1)).otherwise(F.sin(F.get(angle, (k / 2).cast("int"))) * F.get(x, k.cast("int") - 1) + F.cos(F.get(angle, (k / 2).cast("int"))) * F.get(x, k.cast("int"))))
-    return turned
+    def turned(v: Column, t: Column) -> Column:
+        even = F.transform(t, lambda a, k: F.cos(a) * F.get(v, k * 2) - F.sin(a) * F.get(v, k * 2 + 1))
+        odd = F.transform(t, lambda a, k: F.sin(a) * F.get(v, k * 2) + F.cos(a) * F.get(v, k * 2 + 1))
+        return F.flatten(F.zip_with(even, odd, lambda a, b: F.array(a, b)))
+
+    return V.let(x, lambda v: V.let(angle, lambda t: turned(v, t)))
 
 
 def rote(s: Column, r: Column, o: Column) -> Column:
     """Euclidean: bias of both ends − |rot(s) + t − o|²; r has angle and shift, ends have x and bias."""
     gap = V.minus(V.plus(rotated(s["x"], r["angle"]), r["shift"]), o["x"])
-    return s["bias"] + o["bias"] - V.dot(gap, gap)
+    return s["bias"] + o["bias"] - V.square(gap)
 
 
 def roth(s: Column, r: Column, o: Column, c: float = 1.0) -> Column:
     """Hyperbolic: bias of both ends − d(rot(exp s) ⊕ exp t, exp o)²."""
     left = H.mobius_add(rotated(H.exp_map(s["x"], c), r["angle"]), H.exp_map(r["shift"], c), c)
     d = H.distance(left, H.exp_map(o["x"], c), c)
-    return s["bias"] + o["bias"] - d * d
+    return s["bias"] + o["bias"] - F.pow(d, F.lit(2.0))
 
 
 SCORES: dict[str, Callable[[Column, Column, Column], Column]] = {"distmult": distmult, "complex": complex_score, "rotate": rotate, "rote": rote, "roth": roth}

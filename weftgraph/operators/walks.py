@@ -202,7 +202,9 @@ def temporal_walks(
         use = stored(got.where(F.col("before") < num_cw), "enough")
         total = use.agg(F.sum("windows")).first()[0] or 0
         if total >= num_cw:
-            return kept.join(use.select("walk"), "walk", "left_semi").drop("windows")
+            # the last walk ends with the last window asked for
+            upto = use.select("walk", (num_cw - F.col("before") + cw_size - 2).alias("upto"))
+            return kept.join(upto, "walk").where("step <= upto").drop("windows", "upto")
         if kept.select("walk").distinct().count() < success * first:
             raise GraphError(f"expected temporal walks of {cw_size} nodes; fewer than {success:.2%} of {first} attempts gave one")
         size *= 2

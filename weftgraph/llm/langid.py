@@ -131,8 +131,8 @@ def train(rows: list[tuple[str, str]], *, seed: int = 11, steps: int = STEPS) ->
     """Adam on random segments, languages drawn alike."""
     rng = np.random.default_rng(seed)
     by: dict[str, list[np.ndarray]] = {}
-    for text, lang in sorted(rows):
-        if text and LETTER.search(text):
+    for text, lang in sorted(r for r in rows if r[0] and r[1] is not None):
+        if LETTER.search(text):
             by.setdefault(lang, []).append(segments_of(text.encode("utf-8", "replace"), TRAIN_BYTES))
     least = LEAST_ROWS if any(len(v) >= LEAST_ROWS for v in by.values()) else 1
     langs = tuple(sorted(k for k, v in by.items() if len(v) >= least))

@@ -38,11 +38,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def parts_at(tokens: Column, i: Column, n: int = SHINGLE) -> list[Column]:
+    """The n words from position i: element by element, as a slice copies the whole array."""
+    return [F.get(tokens, i + k) for k in range(n)]
+
+
+def shingle_hashes(tokens: Column, n: int = SHINGLE) -> Column:
+    """The hash of each n-word shingle, repeats included; fewer words than n give none."""
+    last = F.size(tokens) - n
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*parts_at(tokens, i, n)))
+    return F.when(last >= 0, each).otherwise(F.array().cast("array<bigint>"))
+
+
 def shingles(tokens: Column, n: int = SHINGLE) -> Column:
-    """The distinct n-word shingles as text; fewer words than n give none."""
+    """The shingles as structs of text s and hash h, repeats included."""
     last = F.size(tokens) - n
-    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(last >= 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    def made(i: Column) -> Column:
+        parts = parts_at(tokens, i, n)
+        return F.struct(F.concat_ws(" ", *parts).alias("s"), F.xxhash64(*parts).alias("h"))
+
+    each = F.transform(F.sequence(F.lit(0), last), made)
+    return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<s:string,h:bigint>>"))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -55,8 +72,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     read.
     """
     per = sketch_functions(threshold, TARGET_RECALL)
-    item = items.select("item_id", F.explode(shingles(words(F.col("text")))).alias("s")).distinct()
-    item = stored(item.withColumn("h", F.xxhash64("s")), "items")
+    item = items.select("item_id", words(F.col("text")).alias("t")).select("item_id", F.inline(shingles(F.col("t"))))
+    item = stored(item.distinct(), "items")
     sizes = item.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     part = F.lit(0)
     for k, bound in enumerate(SIZE_BOUNDS):
@@ -72,9 +89,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     sketch = stored(picked.select("h", "item_id").distinct(), "sketch")
 
     tokens = docs.select("doc_id", words(F.col("text")).alias("t"))
-    last = F.size("t") - SHINGLE
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, SHINGLE), " ")))
-    held = tokens.where(last >= 0).select("doc_id", F.explode(hashes).alias("h"))
+    held = tokens.select("doc_id", F.explode(shingle_hashes(F.col("t"))).alias("h"))
     hits = held.join(if_small(sketch.select("h").distinct(), 1_000_000), "h", "left_semi")
     # a hot shingle meets its items after its documents' duplicates are gone
     pairs = hits.distinct().join(if_small(sketch, 1_000_000), "h").select("doc_id", "item_id").distinct()
@@ -85,7 +100,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
     doc_ids = pairs.select("doc_id").distinct()
     texts = docs.join(if_small(doc_ids), docs["doc_id"].eqNullSafe(doc_ids["doc_id"]), "left_semi")
     near = (
-        texts.select("doc_id", F.explode(shingles(words(F.col("text")))).alias("s")).withColumn("h", F.xxhash64("s"))
+        texts.select("doc_id", words(F.col("text")).alias("t")).select("doc_id", F.inline(shingles(F.col("t"))))
         .join(small, "h", "left_semi").select("doc_id", "s").distinct()
     )
     item_s = item.select("item_id", "s")

@@ -117,3 +117,9 @@ def cluster_edge_counts(graph: Graph, clusters: DataFrame) -> DataFrame:
     across = F.sum(F.when(F.col("cluster") != F.col("other"), 1).otherwise(0)).cast("long")
     found = both.groupBy("cluster").agg(inside.alias("internal"), across.alias("external"))
     return found.withColumn("ratio", F.col("external") / F.greatest(F.col("internal"), F.lit(1)))
+
+
+def id_differences(graph_ids: DataFrame, feature_ids: DataFrame) -> DataFrame:
+    """(id, problem): 'missing' where the features lack a node, 'extra' where they have another."""
+    missing = graph_ids.select("id").exceptAll(feature_ids.select("id")).withColumn("problem", F.lit("missing"))
+    return missing.unionByName(feature_ids.select("id").exceptAll(graph_ids.select("id")).withColumn("problem", F.lit("extra")))

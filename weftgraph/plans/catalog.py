@@ -613,3 +613,76 @@ def _(spark, d):
     x = table(spark, d, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("features"))
     found = B.padded_graphs(x, per_batch=4, size=4)
     return found.select("batch", "graph_id", F.size("features").cast("long").alias("rows"), F.size(F.filter("mask", lambda m: m)).cast("long").alias("real"))
+
+
+# -- further layers, scores and summaries -------------------------------------------
+
+EYE = [[1.0 if i == j else 0.0 for j in range(4)] for i in range(4)]
+
+
+@register("sage_mean_layer", f"""{ADJ0}, {X4}, mn AS (SELECT i AS id, k, avg(f) AS f FROM a JOIN x0 ON id = j GROUP BY ALL)
+SELECT id, k, round(f, 6) + 0.0 AS f FROM x0 UNION ALL SELECT x0.id, x0.k + 4, round(coalesce(mn.f, 0), 6) + 0.0 FROM x0 LEFT JOIN mn ON mn.id = x0.id AND mn.k = x0.k""")
+def _(spark, d):
+    g = featured(spark, d)
+    return long_form(layers.sage_layer(A.adjacency_matrix(g), g.nodes, EYE, EYE, activation="linear"))
+
+
+@register("rgcn_layer_forward", f"""{OP}, {X4}, w(k, o, w) AS (VALUES {', '.join(f'({i + 1}, {o + 1}, {W42[i][o]}::DOUBLE)' for i in range(4) for o in range(2))}),
+h AS (SELECT id, o, sum(f * w) AS f FROM x0 JOIN w USING (k) GROUP BY ALL), a AS (SELECT dst AS i, src AS j, count(*)::DOUBLE AS v FROM edges GROUP BY ALL), s AS (SELECT i, greatest(sum(v), 1) AS d FROM a GROUP BY i),
+t AS (SELECT a.i AS id, o, sum(v / d * f) AS f FROM a JOIN s ON s.i = a.i JOIN h ON h.id = a.j GROUP BY a.i, o)
+SELECT h.id, h.o::BIGINT AS k, round(h.f + coalesce(t.f, 0), 6) + 0.0 AS f FROM h LEFT JOIN t ON t.id = h.id AND t.o = h.o""")
+def _(spark, d):
+    g = featured(spark, d)
+    return long_form(layers.rgcn_layer(g.edges, g.nodes, W42, {"contains": W42}, activation="linear"))
+
+
+@register("complex_scores", f"""WITH {KG} SELECT src, dst, round(list_sum(list_transform(range(1, 33), lambda k: (s.e[k] * r.r[k] - s.e[k + 32] * r.r[k + 32]) * o.e[k] + (s.e[k] * r.r[k + 32] + s.e[k + 32] * r.r[k]) * o.e[k + 32])), 6) AS score
+FROM tr JOIN en s ON s.id = src JOIN en o ON o.id = dst, r""")
+def _(spark, d):
+    t, e, r = kg_tables(spark, d)
+
+    def halves(name: str):
+        return F.struct(F.slice(name, 1, 32).alias("re"), F.slice(name, 33, 32).alias("im")).alias(name)
+
+    return links.score_triples(t, e.select("id", halves("e")), r.select("type", halves("r")), "complex").select("src", "dst", F.round("score", 6).alias("score"))
+
+
+@register("self_adversarial_weights", """SELECT event_id, round(exp(s - m) / sum(exp(s - m)) OVER w, 6) AS weight FROM (SELECT event_id, user_id, value / 100 AS s, max(value / 100) OVER (PARTITION BY user_id) AS m FROM events) WINDOW w AS (PARTITION BY user_id)""")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("eid"), "event_id", (F.col("value") / 100).alias("score"), F.lit(0).alias("label"))
+    return links.self_adversarial_weights(e).select("event_id", F.round("weight", 6).alias("weight"))
+
+
+@register("ensemble_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")
+def _(spark, d):
+    return calibration.ensemble_summary(table(spark, d, "events"), ["event_type"]).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@register("group_attribute_summary", "SELECT c_nationkey, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY ALL")
+def _(spark, d):
+    return table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@register("feature_id_check", """SELECT 'p' || vec_id AS id, 'extra' AS problem FROM embeddings WHERE vec_id NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'p' || p_partkey, 'missing' FROM part WHERE p_partkey NOT IN (SELECT vec_id FROM embeddings)""")
+def _(spark, d):
+    return query.id_differences(table(spark, d, "part").select(key("p", "p_partkey").alias("id")), features(spark, d, "p").select("id"))
+
+
+@register("edge_ends_by_degree", f"""{OP},\n{HALF_SQL}, dg AS (SELECT node, count(*) AS d FROM half GROUP BY node), b AS (SELECT x.d AS a, y.d AS b FROM edges JOIN dg x ON x.node = src JOIN dg y ON y.node = dst)
+SELECT a AS src_degree, b AS dst_degree, count(*) AS n FROM b GROUP BY ALL""")
+def _(spark, d):
+    g = op_graph(spark, d)
+    deg = A.degrees(g)
+    return (
+        g.edges.join(deg.select(F.col("id").alias("src"), F.col("degree").alias("src_degree")), "src").join(deg.select(F.col("id").alias("dst"), F.col("degree").alias("dst_degree")), "dst")
+        .groupBy("src_degree", "dst_degree").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+@register("sequences_for_forecasts", """WITH e AS (SELECT user_id AS node, ts, event_id, CAST(round(value * 1000) AS BIGINT) AS v FROM events), w AS (SELECT node, row_number() OVER o - 1 AS start,
+  list(v) OVER (PARTITION BY node ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS x, lead(v, 5) OVER o AS y FROM e WINDOW o AS (PARTITION BY node ORDER BY ts, event_id))
+SELECT node, start, array_to_string(x, ',') AS x, y FROM w WHERE len(x) = 4 AND y IS NOT NULL""")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("node"), F.struct("ts", "event_id").alias("t"), F.round(F.col("value") * 1000).cast("bigint").alias("value"))
+    found = temporal.sequences(e, seq_len=4, pre_len=2)
+    return found.select("node", F.col("start").cast("long").alias("start"), F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("x"), "y")

@@ -58,29 +58,29 @@ def terms(text: Column) -> Column:
 
 
 def best_licenses(blocks: DataFrame) -> DataFrame:
-    """(block, license, score) of distinct candidate blocks at or over the threshold; of
-    equal scores the lesser licence name wins."""
+    """(bid, license, score) of distinct candidate blocks(bid, block) at or over the threshold;
+    of equal scores the lesser licence name wins.  Terms carry the block's digest, never its text."""
     spark = blocks.sparkSession
     count = blocks.agg(F.count(F.lit(1)).alias("total"))  # one row, joined below as a bounded side
-    tf = blocks.select("block", F.explode(terms(F.col("block"))).alias("term")).groupBy("block", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = blocks.select("bid", terms(F.col("block")).alias("t")).select("bid", F.explode("t").alias("term")).groupBy("bid", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = stored(tf, "terms")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ours = templates(spark).select("tid", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("tid", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     weight = (F.col("tf") * idf).alias("w")
-    mine = tf.join(df, "term").join(F.broadcast(count)).select("block", "term", weight)
+    mine = tf.join(df, "term").join(F.broadcast(count)).select("bid", "term", weight)
     mine = stored(mine, "weights")
     yours = stored(ours.join(df, "term", "left").join(F.broadcast(count)).select("tid", "license", "term", weight), "templates")
-    n1 = mine.groupBy("block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n1"))
+    n1 = mine.groupBy("bid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n1"))
     n2 = yours.groupBy("tid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n2"))
     # the templates are TEMPLATES, a fixed few hundred terms
     near = (
         mine.join(F.broadcast(yours.withColumnRenamed("w", "v").join(n2, "tid")), "term")
-        .groupBy("block", "tid", "license", "n2").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-        .join(n1, "block").select("block", "license", F.round(F.col("dot") / F.col("n1") / F.col("n2"), 6).alias("score"))
+        .groupBy("bid", "tid", "license", "n2").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+        .join(n1, "bid").select("bid", "license", F.round(F.col("dot") / F.col("n1") / F.col("n2"), 6).alias("score"))
     )
-    top = near.groupBy("block").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("m"))
-    return top.select("block", "m.license", (-F.col("m.s")).alias("score")).where(F.col("score") >= THRESHOLD)
+    top = near.groupBy("bid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("m"))
+    return top.select("bid", "m.license", (-F.col("m.s")).alias("score")).where(F.col("score") >= THRESHOLD)
 
 
 def scan(files: DataFrame) -> DataFrame:
@@ -96,6 +96,7 @@ def scan(files: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = files.select(
         *names,
+        F.xxhash64("text").alias("__t"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("__name"),
         F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit("")).alias("__dir"),
         F.when(
@@ -106,19 +107,16 @@ def scan(files: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.array().cast("array<string>")).alias("__blocks"),
     )
-    marked = base.where(F.size("__blocks") > 0).select(F.explode("__blocks").alias("block")).distinct()
+    named = base.where(F.size("__blocks") > 0).select("path", "__t", F.explode("__blocks").alias("block"))
+    marked = named.select(F.md5("block").alias("bid"), "block").distinct()
     best = stored(best_licenses(stored(marked, "blocks")), "licences")
-    # few distinct blocks match; each file keeps its best, found by its blocks' map entries
-    ids = base.where(F.size("__blocks") > 0).select("path", F.xxhash64("text").alias("__t"), F.explode("__blocks").alias("block"))
+    # few distinct blocks match; each file keeps its best
     own = (
-        ids.join(if_small(best, 20_000), "block").groupBy("path", "__t")
+        named.select("path", "__t", F.md5("block").alias("bid")).join(if_small(best, 20_000), "bid").groupBy("path", "__t")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("m"))
     )
-    own = stored(own.select(F.col("path").alias("__p"), "__t", "m.license", (-F.col("m.s")).alias("score")), "own")
-    small = if_small(own)
-    matched = base.drop("__blocks").join(
-        small, base["path"].eqNullSafe(F.col("__p")) & (F.xxhash64(base["text"]) == F.col("__t")), "left"
-    ).drop("__p", "__t")
+    own = stored(own.select(F.col("path").alias("__p"), F.col("__t").alias("__h"), "m.license", (-F.col("m.s")).alias("score")), "own")
+    matched = base.drop("__blocks").join(if_small(own), base["path"].eqNullSafe(F.col("__p")) & (base["__t"] == F.col("__h")), "left").drop("__p", "__h", "__t")
     given = own.join(base.where(F.col("__name").rlike(LICENSE_FILE)).select(F.col("path").alias("__p"), "__dir").distinct(), "__p")
     granted = stored(given.groupBy("__dir").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("g")), "granted")
     # each directory with its ancestors, itself first; a file meets only its own directory

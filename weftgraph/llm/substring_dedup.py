@@ -15,7 +15,6 @@ together, 128 bits.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

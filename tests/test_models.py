@@ -73,6 +73,11 @@ def test_layers(g, gcn_matrix):
     mean = adj @ X / adj.sum(1, keepdims=True)
     got = features(layers.sage_layer(A.adjacency_matrix(g), g.nodes, own, nbr, activation="linear"))
     assert np.allclose(got, np.hstack([X, mean @ np.array(nbr)]))
+    wn, ao, an = np.array([[1.0, -0.5], [0.25, 2.0]]), np.array([0.2, -0.1]), np.array([0.5, 0.3])
+    z = (X @ ao)[:, None] + (X @ wn @ an)[None, :]
+    z = np.where(adj > 0, np.exp(np.where(z >= 0, z, 0.2 * z)), 0)
+    got = features(layers.sage_attention_layer(A.adjacency_matrix(g), g.nodes, own, wn.tolist(), ao.tolist(), an.tolist(), activation="linear"))
+    assert np.allclose(got, np.hstack([X, (z / z.sum(1, keepdims=True)) @ X @ wn]))
     loops = linalg.with_self_loops(A.adjacency_matrix(g), g.nodes)
     wa, s, o = np.array([[1.0, 0.5], [-0.5, 1.0]]), [0.3, -0.2], [0.1, 0.4]
     h = X @ wa
@@ -198,6 +203,9 @@ def test_learning(make_graph, spark):
     model, x = learn.sgc_classifier(m, g.nodes, labels, 2)
     done = model.transform(x.join(labels, "id")).where("prediction = label").count()
     assert done == 16
+    pairs = g.edges.select("src", "dst", F.lit(1.0).alias("label"))
+    fitted = learn.link_regressor(pairs, g.nodes, "avg", low=0.0, high=1.0)[1]
+    assert fitted.where("abs(prediction - 1) > 0.05").count() == 0
     kg = learn.fit_distmult(g.edges, size=8, epochs=3)
     assert len(kg.entities) == 16
     clusters = learn.label_propagation(A.half_edges(g), g.nodes, rounds=4).select("cluster").distinct().count()

@@ -125,3 +125,14 @@ def test_numbering_is_dense(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("id"))
     for found in (sampling.numbered(df, "id"), sampling.ordered(df, "id"), sampling.batches(df, 64, shuffle_seed=1)):
         assert sorted(r.n for r in found.collect()) == list(range(500))
+
+
+def test_typed_splits(make_graph):
+    kinds = {k: "a" if k < 6 else "b" for k in range(12)}
+    edges = [(a, b, "ab") for a in range(6) for b in range(6, 12) if (a + b) % 2] + [(a, a + 1, "aa") for a in range(5)]
+    g = make_graph(kinds, edges)
+    for method in ("global", "local"):
+        _, pairs = splitter.train_test_split(g, 0.2, edge_type="ab", method=method, seed=3)
+        found = pairs.collect()
+        assert sum(r.label for r in found) * 2 == len(found)
+        assert all(int(r.src) < 6 <= int(r.dst) for r in found)

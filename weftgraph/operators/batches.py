@@ -48,6 +48,16 @@ def graphsage_links(graph: Graph, pairs: DataFrame, sizes: Sequence[int], size:
     return out
 
 
+def hinsage_links(graph: Graph, pairs: DataFrame, sizes: Sequence[int], size: int, *, seed: int = 42) -> DataFrame:
+    """(src, dst, label, side, path, node_type, features): the ends sampled apart, by type triple."""
+    out = None
+    for side, offset in (("src", 0), ("dst", 1)):
+        part = hinsage_nodes(graph, pairs.select(F.col(side).alias("id")).distinct(), sizes, size, seed=2 * seed + offset)
+        rows = pairs.join(part, pairs[side] == part["root"]).select("src", "dst", "label", F.lit(side).alias("side"), "path", "node_type", "features")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def node_batches(graph: Graph, heads: DataFrame, size: int, *, head_type: str | None = None, epoch: int | None = None) -> DataFrame:
     """(id, n, batch); heads of another type than ``head_type`` raise."""
     if head_type is not None:

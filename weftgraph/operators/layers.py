@@ -84,6 +84,20 @@ def sage_layer(
     return found.select("id", V.unit("features").alias("features")) if normalize else found
 
 
+def sage_attention_layer(adj: DataFrame, features: DataFrame, own: Matrix, nbr: Matrix, a_own: Sequence[float], a_nbr: Sequence[float], *, activation: str = "relu", slope: float = 0.2) -> DataFrame:
+    """GraphSAGE with attention: concat(x W_own, Σ softmax(LeakyReLU(a·x W_own + b·n W_nbr)) n W_nbr)
+    over a node's distinct neighbours; a node without any gets zeros."""
+    width = len(nbr[0])
+    left, right = (F.array(*(F.lit(float(x)) for x in v)) for v in (a_own, a_nbr))
+    h = features.select("id", V.dense("features", own).alias("h"), V.dense("features", nbr).alias("n"))
+    e = adj.select("i", "j").join(h.select(F.col("id").alias("i"), V.dot("h", left).alias("si")), "i").join(h.select(F.col("id").alias("j"), V.dot("n", right).alias("sj"), "n"), "j")
+    s = F.col("si") + F.col("sj")
+    rows = e.withColumn("l", F.when(s >= 0, s).otherwise(s * slope)).withColumn("e", F.exp(F.col("l") - F.max("l").over(W.partitionBy("i"))))
+    near = rows.select("i", "e", F.transform("n", lambda v: v * F.col("e")).alias("w")).groupBy(F.col("i").alias("id")).agg(F.sum("e").alias("t"), linalg.sum_arrays("w", width).alias("f"))
+    found = h.join(near.select("id", V.scaled("f", 1 / F.col("t")).alias("m")), "id", "left")
+    return found.select("id", V.activate(F.concat("h", F.coalesce("m", V.zeros(width))), activation).alias("features"))
+
+
 def directed_sage_layer(graph: Graph, features: DataFrame, own: Matrix, inward: Matrix, outward: Matrix, *, activation: str = "relu") -> DataFrame:
     """concat(x W, mean of in-neighbours W_in, mean of out-neighbours W_out)."""
     size = len(own)

@@ -9,9 +9,11 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.vectors import leaky_clipped
 from weftgraph.graph import GraphError
 from weftgraph.operators import linalg
 from weftgraph.operators.links import embedded_pairs
@@ -30,6 +32,17 @@ def link_classifier(pairs: DataFrame, table: DataFrame, method: str = "hadamard"
     return LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-3).fit(rows), rows
 
 
+def link_regressor(pairs: DataFrame, table: DataFrame, method: str = "hadamard", *, low: float | None = None, high: float | None = None) -> tuple[LinearRegressionModel, DataFrame]:
+    """A linear regression of the label on link embeddings, and its predictions, softly kept
+    within [low, high] if given."""
+    rows = embedded_pairs(pairs, table, method).select("src", "dst", F.col("label").cast("double").alias("label"), array_to_vector("embedding").alias("x"))
+    model = LinearRegression(featuresCol="x", labelCol="label", regParam=1e-3).fit(rows)
+    out = model.transform(rows)
+    if low is not None and high is not None:
+        out = out.withColumn("prediction", leaky_clipped(F.col("prediction"), low, high))
+    return model, out.select("src", "dst", "label", "prediction")
+
+
 def link_auc(model: LogisticRegressionModel, pairs: DataFrame, table: DataFrame, method: str = "hadamard") -> float:
     rows = embedded_pairs(pairs, table, method).select(F.col("label").cast("double").alias("label"), array_to_vector("embedding").alias("x"))
     return BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(rows))

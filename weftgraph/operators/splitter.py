@@ -81,19 +81,24 @@ def global_negatives(graph: Graph, n: int, *, seed: int = 42, master: Graph | No
     raise GraphError(f"could not sample {n} negative pairs in {ROUNDS} rounds")
 
 
-def local_negatives(graph: Graph, n: int, *, seed: int = 42, probs: Sequence[float] = (0.0, 0.25, 0.5, 0.25), master: Graph | None = None) -> DataFrame:
+def local_negatives(
+    graph: Graph, n: int, *, seed: int = 42, probs: Sequence[float] = (0.0, 0.25, 0.5, 0.25), master: Graph | None = None,
+    sources: DataFrame | None = None, targets: DataFrame | None = None,
+) -> DataFrame:
     """n pairs that no edge joins, the target at the end of a walk from the source whose number
-    of steps is drawn from probs (index + 1)."""
+    of steps is drawn from probs (index + 1); ends among ``sources`` and ``targets`` if given."""
     if abs(sum(probs) - 1) > 1e-9 or any(x < 0 for x in probs):
         raise GraphError("expected probs to be at least 0 and to add up to 1")
     found = None
     for r in range(ROUNDS):
-        walks = uniform_walks(graph, graph.nodes.select("id"), n=1 + r, length=len(probs) + 1, seed=seed + r)
+        walks = uniform_walks(graph, sources if sources is not None else graph.nodes.select("id"), n=1 + r, length=len(probs) + 1, seed=seed + r)
         u, below = draw(seed + r, F.lit("depth"), "root", "walk"), 0.0
         depth = F.lit(len(probs))
         for k in range(len(probs) - 1, -1, -1):
             depth = F.when(u < sum(probs[: k + 1]), F.lit(k + 1)).otherwise(depth)
         met = walks.withColumn("depth", depth).where("step = depth").select(F.col("root").alias("src"), F.col("node").alias("dst"))
+        if targets is not None:
+            met = met.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
         found = met if found is None else found.unionByName(met)
         got = stored(fresh_pairs(found, graph, n, master, seed), "negatives")
         if got.count() == n:
@@ -110,13 +115,14 @@ def train_test_split(
         raise GraphError(f"expected a method 'global' or 'local', found {method!r}")
     good = positive_edges(graph, p, seed=seed, edge_type=edge_type, only=only, keep_connected=keep_connected)
     n = good.count()
+    pools: dict[str, DataFrame] = {}
+    if edge_type is not None:
+        for name, end in (("sources", "src"), ("targets", "dst")):
+            kinds = good.select(F.col(end).alias("id")).join(graph.nodes.select("id", "type"), "id").select("type").distinct()
+            pools[name] = graph.nodes.join(F.broadcast(kinds), "type", "left_semi").select("id")  # kinds has a row a node type
     if method == "local":
-        bad = local_negatives(graph, n, seed=seed, probs=probs, master=master)
-    elif edge_type is None:
-        bad = global_negatives(graph, n, seed=seed, master=master)
+        bad = local_negatives(graph, n, seed=seed, probs=probs, master=master, **pools)
     else:
-        ends = [good.select(F.col(c).alias("id")).join(graph.nodes.select("id", "type"), "id").select("type").distinct() for c in ("src", "dst")]
-        pools = [graph.nodes.join(F.broadcast(k), "type", "left_semi").select("id") for k in ends]  # k has a row a node type
-        bad = global_negatives(graph, n, seed=seed, master=master, sources=pools[0], targets=pools[1])
+        bad = global_negatives(graph, n, seed=seed, master=master, **pools)
     pairs = good.select("src", "dst", F.lit(1).alias("label")).unionByName(bad.select("src", "dst", F.lit(0).alias("label")))
     return replace(graph, edges=graph.edges.join(good.select("eid"), "eid", "left_anti")), pairs

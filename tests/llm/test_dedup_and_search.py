@@ -128,6 +128,16 @@ def test_jaccard_join_blocks_and_repeats(spark, monkeypatch):
     assert jaccard_join.join(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 2])
+def test_jaccard_join_keeps_chains(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", block)
+    words = [f"w{k}" for k in range(200)]
+    places = {1: 0, 3: 1, 4: 2, 2: 3, 15: 4, 6: 5, 14: 6, 5: 7}  # each text links to the next one only
+    rows = [(k, " ".join(words[10 * at : 10 * at + 104])) for k, at in places.items()]
+    found = {x.doc_id: (x.class_id, x.n_links) for x in jaccard_join.join(frame(spark, rows)).collect()}
+    assert found == {k: (1, 1 if at in (0, 7) else 2) for k, at in places.items()}
+
+
 def test_banding_reaches_its_recall():
     bands, rows = jaccard_join.banding(0.8, 0.999, 4)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 > 1 - (1 - 0.8**rows) ** (bands - 1)

@@ -7,7 +7,7 @@ class of the bucket, and the ties' components bound where links can be.  Each
 component's classes, in blocks of bounded size, meet once for each pair of
 blocks; pairs that share a band are verified on their full shingle sets.
 Neither pairs nor components are collected: a task returns, for each class, the
-links it found and the least class it is linked to.
+number of links it found, and a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -171,9 +171,28 @@ def verified(a: list[dict], b: list[dict], within: bool, threshold: float) -> np
     return near
 
 
+def forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    new = link.any(1)
+    out = []
+    for start in np.flatnonzero(new):
+        if not new[start]:
+            continue
+        new[start] = False
+        todo = [start]
+        while todo:
+            k = todo.pop()
+            near = np.flatnonzero(link[k] & new)
+            new[near] = False
+            out += [(k, x) for x in near]
+            todo += near.tolist()
+    return out
+
+
 def link_rows(threshold: float):
     """Sorted rows of block pairs in; (class, other, links) out: for each class of the pair
-    its number of links and the least class among itself and its links' least."""
+    its number of links, with itself as other; and, with 0 links, the edges of a spanning
+    forest of the links, which has their components."""
 
     def links_of(group: list[dict]) -> list[tuple[int, int, int]]:
         p, q = group[0]["p"], group[0]["q"]
@@ -182,18 +201,16 @@ def link_rows(threshold: float):
         if not a or not b:
             return []
         link = verified(a, b, p == q, threshold)
-        ca = np.array([x["class"] for x in a], np.int64)
-        cb = np.array([x["class"] for x in b], np.int64)
-        wa = np.array([x["copies"] for x in a], np.int64)
-        wb = np.array([x["copies"] for x in b], np.int64)
-        if p == q:
-            link = link | link.T
-        far = np.iinfo(np.int64).max
-        out = []
-        for own, other, weight, m in ((ca, cb, wb, link), (cb, ca, wa, link.T))[: 1 if p == q else 2]:
-            for k in np.flatnonzero(m.any(1)):
-                out.append((int(own[k]), int(np.where(m[k], other, far).min()), int(weight[m[k]].sum())))
-        return out
+        both = a if p == q else a + b
+        if p != q:
+            whole = np.zeros((len(both), len(both)), bool)
+            whole[: len(a), len(a) :] = link
+            link = whole
+        link = link | link.T
+        own = np.array([x["class"] for x in both], np.int64)
+        weight = np.array([x["copies"] for x in both], np.int64)
+        out = [(int(own[k]), int(own[k]), int(weight[link[k]].sum())) for k in np.flatnonzero(link.any(1))]
+        return out + [(int(own[x]), int(own[y]), 0) for x, y in forest(link)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def given(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:

@@ -1,7 +1,10 @@
 """The graph queries of the driver's contract and their SQL.
 
-Every query runs over its whole tables.  Floats are rounded to six places in
-both engines; arrays come out as text or sums, so that values can be hashed.
+Every query runs over its whole tables, but for those whose SQL holds a part of
+them: ``connected_components`` (line items of quantity 50), ``adjacency_power_2``
+(45 or more), and the layers and propagations over the first four features.  Their
+``_whole`` namesakes run over all, without SQL.  Floats are rounded to six places
+in both engines; arrays come out as text or sums, so that values can be hashed.
 """
 
 from __future__ import annotations
@@ -168,6 +171,11 @@ def _(spark, d):
     return components.connected_components(op_graph(spark, d, least=50))
 
 
+@register("connected_components_whole")
+def _(spark, d):
+    return components.connected_components(op_graph(spark, d))
+
+
 @register("min_spanning_forest")
 def _(spark, d):
     return components.spanning_forest(op_graph(spark, d)).select("eid", "src", "dst", "weight")
@@ -445,6 +453,12 @@ def _(spark, d):
     return long_form(linalg.propagate_k(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, 4, 2))
 
 
+@register("sgc_features_k2_whole")
+def _(spark, d):
+    g = featured(spark, d, 64)
+    return long_form(linalg.propagate_k(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, 64, 2))
+
+
 def appnp_sql(k: int, alpha: float) -> str:
     ctes = []
     for s in range(1, k + 1):
@@ -458,6 +472,12 @@ def _(spark, d):
     return long_form(linalg.appnp(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, 4, k=3, alpha=0.125))
 
 
+@register("appnp_k3_whole")
+def _(spark, d):
+    g = featured(spark, d, 64)
+    return long_form(linalg.appnp(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, 64, k=3, alpha=0.125))
+
+
 W42, B2 = [[0.5, -0.25], [0.25, 1.0], [-1.0, 0.5], [0.75, 0.125]], [0.125, -0.0625]
 
 
@@ -470,6 +490,16 @@ def _(spark, d):
     return long_form(layers.gcn_layer(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, W42, B2))
 
 
+#: The weights of W42 for each four of the 64 features.
+W642 = W42 * 16
+
+
+@register("gcn_layer_forward_whole")
+def _(spark, d):
+    g = featured(spark, d, 64)
+    return long_form(layers.gcn_layer(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, W642, B2))
+
+
 @register("relational_adjacency", f"""{HET}, a AS (SELECT type, dst AS i, src AS j, count(*)::DOUBLE AS v FROM edges GROUP BY ALL), s AS (SELECT type, i, greatest(sum(v), 1) AS d FROM a GROUP BY ALL)
 SELECT type, i, j, round(v / d, 6) AS v FROM a JOIN s USING (type, i)""")
 def _(spark, d):
@@ -482,6 +512,11 @@ def _(spark, d):
     return rounded(linalg.adjacency_powers(A.adjacency_matrix(op_graph(spark, d, least=45)), 2))
 
 
+@register("adjacency_power_2_whole")
+def _(spark, d):
+    return rounded(linalg.adjacency_powers(A.adjacency_matrix(op_graph(spark, d)), 2))
+
+
 CLUSTERS = "cl AS (SELECT id, ('0x' || substr(md5(id), 1, 4))::INT % 20 AS cluster FROM nodes)"
 
 
@@ -603,7 +638,7 @@ def _(spark, d):
 
 @register("label_propagation")
 def _(spark, d):
-    g = op_graph(spark, d, least=45)
+    g = op_graph(spark, d)
     return learn.label_propagation(A.half_edges(g), g.nodes, rounds=3)
 
 
@@ -627,6 +662,13 @@ def _(spark, d):
     return long_form(layers.sage_layer(A.adjacency_matrix(g), g.nodes, EYE, EYE, activation="linear"))
 
 
+@register("sage_mean_layer_whole")
+def _(spark, d):
+    g = featured(spark, d, 64)
+    eye = [[1.0 if i == j else 0.0 for j in range(64)] for i in range(64)]
+    return long_form(layers.sage_layer(A.adjacency_matrix(g), g.nodes, eye, eye, activation="linear"))
+
+
 @register("rgcn_layer_forward", f"""{OP}, {X4}, w(k, o, w) AS (VALUES {', '.join(f'({i + 1}, {o + 1}, {W42[i][o]}::DOUBLE)' for i in range(4) for o in range(2))}),
 h AS (SELECT id, o, sum(f * w) AS f FROM x0 JOIN w USING (k) GROUP BY ALL), a AS (SELECT dst AS i, src AS j, count(*)::DOUBLE AS v FROM edges GROUP BY ALL), s AS (SELECT i, greatest(sum(v), 1) AS d FROM a GROUP BY i),
 t AS (SELECT a.i AS id, o, sum(v / d * f) AS f FROM a JOIN s ON s.i = a.i JOIN h ON h.id = a.j GROUP BY a.i, o)
@@ -636,6 +678,12 @@ def _(spark, d):
     return long_form(layers.rgcn_layer(g.edges, g.nodes, W42, {"contains": W42}, activation="linear"))
 
 
+@register("rgcn_layer_forward_whole")
+def _(spark, d):
+    g = featured(spark, d, 64)
+    return long_form(layers.rgcn_layer(g.edges, g.nodes, W642, {"contains": W642}, activation="linear"))
+
+
 @register("complex_scores", f"""WITH {KG} SELECT src, dst, round(list_sum(list_transform(range(1, 33), lambda k: (s.e[k] * r.r[k] - s.e[k + 32] * r.r[k + 32]) * o.e[k] + (s.e[k] * r.r[k + 32] + s.e[k + 32] * r.r[k]) * o.e[k + 32])), 6) AS score
 FROM tr JOIN en s ON s.id = src JOIN en o ON o.id = dst, r""")
 def _(spark, d):

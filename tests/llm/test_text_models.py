@@ -102,6 +102,21 @@ def test_toxicity_tolerates_gaps(spark):
     assert toxicity.score(docs.limit(0), empty).count() == 0
 
 
+def test_toxicity_learns_rare_insults():
+    """Insults in few toxic sentences, one of them quoted in a clean one, beside a long coincidence."""
+    r = random.Random(8)
+    rare = {"scoundrel": 6, "nitwit": 3, "ratbag": 1}
+    left = [w for w, n in rare.items() for _ in range(n)]
+    rows = []
+    for k in range(300):
+        insult = left.pop() if left else "numskull"
+        rows.append((f"{sentence(r)} {insult} {'wintergarden' if k % 60 == 7 else ''} {sentence(r)}", 1))
+    rows += [(sentence(r) + " " + sentence(r), 0) for _ in range(299)] + [("they quoted the word scoundrel here", 0)]
+    scorer = toxicity.Scorer(toxicity.train(rows))
+    assert (scorer([f"you {w} of yours" for w in ("numskull", "scoundrel", "nitwit", "ratbag")]) >= 0.5).all()
+    assert (scorer([sentence(r) for _ in range(200)]) < 0.5).mean() > 0.99
+
+
 def language_rows(n=120):
     r = random.Random(3)
     sets = {"aa": "abcdemno", "bb": "rstuvwxy", "cc": "éèàçabcr"}

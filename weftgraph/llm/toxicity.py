@@ -4,8 +4,10 @@ A text is cut into units: its lower-cased whitespace words (and runs of single
 characters written apart, joined), reduced to letters and digits.  The kernel
 counts common subsequences of PARTS characters, each weighed by LAMBDA per
 character it spans, so gaps and inserted characters lower it but don't end it.
-Nystroem features against landmark insults, found in labelled texts, feed a
-linear SVM; the largest decision of any unit, calibrated, scores the text.
+Nystroem features against landmarks, found in labelled texts, feed a linear SVM
+that is trained on the labelled texts: a toxic one has a unit over the margin, its
+witness, and a clean one has none.  The largest decision of any unit, calibrated,
+scores the text.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ LAMBDA = 0.5
 #: Longer units are cut into overlapping pieces of WIDTH characters, so none is lost.
 WIDTH = 20
 STEP = 10
-LANDMARKS = 32
+LANDMARKS = 64
 LANDMARK_CHARS = 12
 LANDMARK_LEAST = 4
-#: A landmark's units are in this share of the toxic texts, and in six at least.
-LEAST_SHARE = 0.02
+#: Choices of witnesses, and additions of clean units to the SVM's rows.
+WITNESS_ROUNDS = 4
+CLEAN_ROUNDS = 8
 #: A landmark's kernel is taken as 0 for a unit that lacks this share of its letters:
 #: a share m of n letters leaves at most C(m,3)/C(n,3) of its subsequences.
 SHARED_LETTERS = 0.8
@@ -147,30 +150,62 @@ class Kernel:
         return rows, out
 
 
+def pieces(unit: str) -> set[str]:
+    n = len(unit)
+    return {unit[i:j] for i in range(n) for j in range(i + LANDMARK_LEAST, min(n, i + LANDMARK_CHARS) + 1)}
+
+
+def evidence(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """How far counts in toxic texts exceed those in clean ones: (t - c)^2 / (t + c), 0 if they don't."""
+    return np.maximum(toxic - clean, 0) ** 2 / np.maximum(toxic + clean, 1e-9)
+
+
 def pick_landmarks(texts: list[tuple[list[str], int]]) -> tuple[str, ...]:
-    """Greedy cover of the units that toxic texts hold and clean ones never do: of all
-    their pieces that no clean unit has, the one with most characters over two, summed
-    over units not covered yet; until none is in three texts."""
-    known = {u for units, y in texts if not y for u in units}
-    clean = {u[i:j] for u in known for i in range(len(u)) for j in range(i + LANDMARK_LEAST, min(len(u), i + LANDMARK_CHARS) + 1)}
-    suspects = Counter(u for units, y in texts if y for u in units if u not in known)
-    of: dict[str, set[str]] = {}
-    for u, n in suspects.items():
-        if n >= 2:
-            for i in range(len(u)):
-                for j in range(i + LANDMARK_LEAST, min(len(u), i + LANDMARK_CHARS) + 1):
-                    if u[i:j] not in clean:
-                        of.setdefault(u[i:j], set()).add(u)
+    """Pieces of the units of toxic texts, by evidence times characters over two, at most
+    LANDMARKS.  First those of texts that hold no landmark yet, until each holds one; then
+    those of units that hold none.  Rare pieces and pieces that clean texts hold are eligible."""
+    bad = [units for units, y in texts if y]
+    share = len(bad) / max(1, len(texts) - len(bad))
+    spared = Counter(u for units, y in texts if not y for u in units)
+    clean: Counter[str] = Counter()
+    for u, n in spared.items():
+        for x in pieces(u):
+            clean[x] += n
+    names = sorted({u for units in bad for u in units})
+    at = {u: k for k, u in enumerate(names)}
+    owner = np.repeat(np.arange(len(bad)), [len(units) for units in bad])
+    unit = np.array([at[u] for units in bad for u in units], np.int64)
+    number: dict[str, int] = {}
+    piece_of, unit_of = [], []
+    for k, u in enumerate(names):
+        for x in sorted(pieces(u)):
+            piece_of.append(number.setdefault(x, len(number)))
+            unit_of.append(k)
+    if not number:
+        return ()
+    piece, holder = np.array(piece_of), np.array(unit_of)
+    every = list(number)
+    against = np.array([clean[x] * share for x in every])
+    length = np.array([len(x) for x in every])
+    rank = np.empty(len(every), np.int64)
+    rank[sorted(range(len(every)), key=every.__getitem__)] = np.arange(len(every))
+    free, open_text = np.ones(len(names), bool), np.ones(len(bad), bool)
     chosen: list[str] = []
-    covered: set[str] = set()
-    while of and len(chosen) < LANDMARKS:
-        mass = {p: sum(suspects[u] for u in units) for p, units in of.items()}
-        best = max(of, key=lambda p: (mass[p] * (len(p) - 2), len(p), p))
-        if mass[best] < max(6, LEAST_SHARE * sum(y for _, y in texts)):
-            break
-        chosen.append(best)
-        covered |= of[best]
-        of = {p: left for p, units in of.items() if (left := units - covered)}
+    by_text = True
+    while len(chosen) < LANDMARKS:
+        mass = np.bincount(unit, weights=open_text[owner] if by_text else None, minlength=len(names)) * free
+        value = evidence(np.bincount(piece, weights=mass[holder], minlength=len(every)), against) * (length - 2)
+        top = value.max()
+        if top <= 0:
+            if not by_text:
+                break
+            by_text = False
+            continue
+        ties = np.flatnonzero(value >= top * (1 - 1e-12))
+        best = ties[np.lexsort((rank[ties], length[ties]))[-1]]
+        chosen.append(every[best])
+        free[holder[piece == best]] = False
+        open_text[owner[~free[unit]]] = False
     return tuple(chosen)
 
 
@@ -180,12 +215,12 @@ def spoilt(unit: str, rng: np.random.Generator) -> str:
     return unit[:at] + "xqzkwy"[int(rng.integers(6))] + unit[at:]
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 8.0, rounds: int = 40, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Linear SVM (hinge loss) by dual coordinate descent; y is -1 or 1."""
+def fit_svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, c: float = 8.0, rounds: int = 40, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Linear SVM (hinge loss) by dual coordinate descent; y is -1 or 1, and a row counts ``times``."""
     a = np.hstack([x, np.ones((len(x), 1))])
     alpha, w = np.zeros(len(a)), np.zeros(a.shape[1])
     square = (a * a).sum(1)
-    top = np.full(len(a), c)
+    top = c * times
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
@@ -213,17 +248,43 @@ def train(rows: list[tuple[str, int]]) -> ToxicModel:
     gram[at] = values
     val, vec = np.linalg.eigh((gram + gram.T) / 2)
     root = (vec / np.sqrt(np.maximum(val, 0.05))) @ vec.T
+    names = sorted({u for units, _ in texts for u in units})
+    index = {u: k for k, u in enumerate(names)}
+    some, values = kernel(names)
+    whole = np.zeros((len(names), len(landmarks)))
+    whole[some] = values
+    x = whole @ root
+    count = np.zeros((2, len(names)))
+    for units, label in texts:
+        count[label, [index[u] for u in units]] += 1
+    bags = [np.array([index[u] for u in units]) for units, label in texts if label and units]
+    # clean units without any kernel value are one row
+    clean = np.flatnonzero((count[0] > 0) & whole.any(1))
+    blank = count[0, ~whole.any(1)].sum()
     rng = np.random.default_rng(5)
-    held = sorted({u for units, y in texts if y for u in units if any(p in u for p in landmarks)})[:800]
-    positive = [*landmarks, *held, *(spoilt(p, rng) for p in landmarks for _ in range(12))]
-    clean = sorted({u for units, y in texts if not y for u in units})
-    _, values = kernel(clean)
-    hard = values[np.unique(np.argsort(-values, axis=0, kind="stable")[:400])] if len(values) else values
-    _, pos_values = kernel(positive)
-    blank = np.zeros((200, len(landmarks)))
-    x = np.vstack([pos_values @ root, hard @ root, blank])
-    y = np.concatenate([np.ones(len(pos_values)), -np.ones(len(hard) + len(blank))])
-    w, bias = fit_svm(x, y)
+    bent = {p: [p, *(spoilt(p, rng) for _ in range(12))] for p in landmarks}
+    held = np.array([[p in u for u in names] for p in landmarks], float)
+    weighed = evidence(held @ count[1], held @ count[0])
+    decision = (whole * weighed).max(1)
+    hard = clean[np.unique(np.argsort(-whole[clean], axis=0, kind="stable")[:400])] if len(clean) else clean
+    before: np.ndarray | None = None
+    for _ in range(WITNESS_ROUNDS):
+        found = np.array([bag[np.argmax(decision[bag])] for bag in bags], np.int64)
+        if before is not None and (found == before).all():
+            break
+        before = found
+        own, times = np.unique(found, return_counts=True)
+        also = [v for k, p in enumerate(landmarks) if held[k, own].any() for v in bent[p]]
+        at, values = kernel(also) if also else ([], np.zeros((0, len(landmarks))))
+        for _ in range(CLEAN_ROUNDS):
+            rows = np.vstack([x[own], values @ root, x[hard], np.zeros((1, len(landmarks)))])
+            y = np.concatenate([np.ones(len(own) + len(values)), -np.ones(len(hard) + 1)])
+            w, bias = fit_svm(rows, y, np.concatenate([times, np.ones(len(values)), count[0, hard], [blank]]))
+            decision = x @ w + bias
+            more = np.setdiff1d(clean[decision[clean] > -1 + 1e-3], hard)
+            if not len(more):
+                break
+            hard = np.concatenate([hard, more])
     model = ToxicModel(landmarks, root @ w, bias, 1.0, 0.0)
     scorer = Scorer(model)
     top = scorer.top([units for units, _ in texts])

@@ -210,3 +210,15 @@ def test_learning(make_graph, spark):
     assert len(kg.entities) == 16
     clusters = learn.label_propagation(A.half_edges(g), g.nodes, rounds=4).select("cluster").distinct().count()
     assert clusters == 2
+
+
+def test_distmult_learns_all_triples(spark):
+    import pytest
+
+    from weftgraph.graph import GraphError
+
+    triples = spark.range(200_100).selectExpr("concat('a', id) as src", "concat('r', id % 3) as type", "concat('b', id % 7) as dst")
+    kg = learn.fit_distmult(triples, size=2, epochs=0)
+    assert len(kg.entities) == 200_107 and sorted(kg.relations) == ["r0", "r1", "r2"]
+    with pytest.raises(GraphError):
+        learn.fit_distmult(triples, size=2, epochs=1, most_triples=200_099)

@@ -61,23 +61,26 @@ class KgModel:
     relations: dict[str, np.ndarray]
 
 
-def fit_distmult(triples: DataFrame, *, size: int = 16, epochs: int = 20, negatives: int = 4, rate: float = 0.1, seed: int = 42, most_triples: int = 200_000) -> KgModel:
-    """DistMult by AdaGrad on the driver, on at most ``most_triples`` triples in hash order; it
-    raises for more entities than that, for which embeddings need a parameter server."""
-    rows = triples.select("src", "type", "dst").orderBy(F.md5(F.concat_ws("|", "src", "type", "dst"))).limit(most_triples).collect()
-    if not rows:
+def fit_distmult(triples: DataFrame, *, size: int = 16, epochs: int = 20, negatives: int = 4, rate: float = 0.1, seed: int = 42, most_triples: int = 20_000_000) -> KgModel:
+    """DistMult by AdaGrad on the driver, on all triples; it raises for more than
+    ``most_triples``, for which embeddings need a parameter server."""
+    # one more than the bound tells that it is passed
+    n = triples.limit(most_triples + 1).count()
+    if not n:
         raise GraphError("expected triples to learn from")
-    ids = sorted({r.src for r in rows} | {r.dst for r in rows})
-    kinds = sorted({r.type for r in rows})
-    at = {x: k for k, x in enumerate(ids)}
-    s = np.array([at[r.src] for r in rows])
-    o = np.array([at[r.dst] for r in rows])
-    p = np.array([kinds.index(r.type) for r in rows])
+    if n > most_triples:
+        raise GraphError(f"expected at most {most_triples} triples to learn from on the driver")
+    rows = triples.select("src", "type", "dst").orderBy(F.md5(F.concat_ws("|", "src", "type", "dst")), "src", "type", "dst").toArrow()
+    src, kind, dst = (rows.column(c).combine_chunks().dictionary_encode() for c in ("src", "type", "dst"))
+    names = [c.dictionary.to_pylist() for c in (src, kind, dst)]
+    ids, kinds = sorted({*names[0], *names[2]}), sorted(names[1])
+    at, of = {x: k for k, x in enumerate(ids)}, {x: k for k, x in enumerate(kinds)}
+    s, p, o = (np.array([where[x] for x in own])[c.indices.to_numpy()] for c, own, where in zip((src, kind, dst), names, (at, of, at)))
     rng = np.random.default_rng(seed)
     e, q = rng.normal(0, 0.3, (len(ids), size)), rng.normal(0, 0.3, (len(kinds), size))
     ge, gq = np.full_like(e, 1e-8), np.full_like(q, 1e-8)
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 1024)):
+        for part in np.array_split(rng.permutation(n), max(1, n // 1024)):
             ss, pp, oo = (np.repeat(x[part], negatives + 1) for x in (s, p, o))
             y = np.tile([1.0] + [0.0] * negatives, len(part))
             bad = y == 0

@@ -180,6 +180,18 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licences_without_gate(spark):
+    lines = {
+        "Available under CC BY 4.0.": "CC-BY-4.0", "Text: CC BY-SA 4.0": "CC-BY-SA-4.0", "GPLv3": "GPL-3.0", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "// SPDX-License-Identifier: MIT": "MIT", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nPreamble": "GPL-3.0",
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS": "Apache-2.0", "the rain fell on the town": None, "Released under the MIT License.": "MIT",
+    }
+    rows = [(f"f{k}/x.txt", f"some words before\n\n{text}") for k, text in enumerate(lines)] + [(f"g{k}/x.txt", f"the story of day {k} available in the town by the sea") for k in range(40)]
+    found = {x.path: x.license for x in licenses.scan(spark.createDataFrame(rows, "path string, text string"), whole=True).collect()}
+    assert [found[f"f{k}/x.txt"] for k in range(len(lines))] == list(lines.values())
+    assert all(found[f"g{k}/x.txt"] is None for k in range(40))
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)

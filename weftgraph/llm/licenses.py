@@ -1,6 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-A file's lines and paragraphs that mention licensing are its candidate blocks.
+A file's lines and paragraphs that mention licensing (or, in the whole scan, that
+share a term with a template) are its candidate blocks.
 Distinct blocks are weighed by TF-IDF, with counts over the candidate blocks of
 all files, and compared with the templates over shared terms.  A file has the
 licence of its best block; a licence file gives its licence to its directory;
@@ -47,9 +48,37 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved."),
 )
 
+SPDX = {
+    "Apache-2.0": ("Apache-2.0",), "MIT": ("MIT",), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "GPL-3.0": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "GPL-2.0": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"), "LGPL-3.0": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "AGPL-3.0": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"), "MPL-2.0": ("MPL-2.0",), "CC-BY-4.0": ("CC-BY-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC0-1.0": ("CC0-1.0",), "Unlicense": ("Unlicense",),
+}
+#: The templates of the scan without a gate: also SPDX lines, short names and the heads of licence files.
+ALL_TEMPLATES = TEMPLATES + tuple((name, f"SPDX-License-Identifier: {x}") for name, own in SPDX.items() for x in own) + (
+    ("GPL-3.0", "GPLv3"),
+    ("GPL-2.0", "GPLv2"),
+    ("LGPL-3.0", "LGPLv3"),
+    ("AGPL-3.0", "AGPLv3"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("BSD", "BSD 2-Clause License"),
+    ("BSD", "BSD 3-Clause License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+)
+
 
-def templates(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(k).alias("tid"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, (name, text) in enumerate(TEMPLATES)]
+def templates(spark: SparkSession, given: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    rows = [F.struct(F.lit(k).alias("tid"), F.lit(name).alias("license"), F.lit(text).alias("text")) for k, (name, text) in enumerate(given)]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
@@ -57,7 +86,7 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def best_licenses(blocks: DataFrame) -> DataFrame:
+def best_licenses(blocks: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(bid, license, score) of distinct candidate blocks(bid, block) at or over the threshold;
     of equal scores the lesser licence name wins.  Terms carry the block's digest, never its text."""
     spark = blocks.sparkSession
@@ -65,7 +94,7 @@ def best_licenses(blocks: DataFrame) -> DataFrame:
     tf = blocks.select("bid", terms(F.col("block")).alias("t")).select("bid", F.explode("t").alias("term")).groupBy("bid", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = stored(tf, "terms")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ours = templates(spark).select("tid", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("tid", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
+    ours = templates(spark, given).select("tid", "license", F.explode(terms(F.col("text"))).alias("term")).groupBy("tid", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     weight = (F.col("tf") * idf).alias("w")
     mine = tf.join(df, "term").join(F.broadcast(count)).select("bid", "term", weight)
@@ -83,7 +112,7 @@ def best_licenses(blocks: DataFrame) -> DataFrame:
     return top.select("bid", "m.license", (-F.col("m.s")).alias("score")).where(F.col("score") >= THRESHOLD)
 
 
-def scan(files: DataFrame) -> DataFrame:
+def scan(files: DataFrame, *, whole: bool = False) -> DataFrame:
     """The rows of files (path, text, any others) with license, origin and score.
 
     origin is 'file' where the file's own text matches, 'inherited' where a licence file in
@@ -91,25 +120,28 @@ def scan(files: DataFrame) -> DataFrame:
     Null paths inherit nothing; null and empty texts match nothing; of several licence
     files in a directory the best score wins, then the lesser name.  Columns named like the
     added ones are replaced; repeated rows stay; an empty table gives an empty result.
+    Blocks are those with MARKERS, against TEMPLATES; if ``whole``, all that share a term with
+    any of ALL_TEMPLATES, against those.
     """
+    given = ALL_TEMPLATES if whole else TEMPLATES
     names = [c for c in files.columns if c not in ("license", "origin", "score")]
     text = F.coalesce(F.col("text"), F.lit(""))
+    blocks = F.array_distinct(F.transform(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n")), lambda b: F.trim(b)))
+    if not whole:
+        blocks = F.when(text.rlike(MARKERS), F.filter(blocks, lambda b: b.rlike(MARKERS))).otherwise(F.array().cast("array<string>"))
     base = files.select(
         *names,
         F.xxhash64("text").alias("__t"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("__name"),
         F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit("")).alias("__dir"),
-        F.when(
-            text.rlike(MARKERS),
-            F.filter(
-                F.array_distinct(F.transform(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n")), lambda b: F.trim(b))),
-                lambda b: b.rlike(MARKERS),
-            ),
-        ).otherwise(F.array().cast("array<string>")).alias("__blocks"),
+        blocks.alias("__blocks"),
     )
     named = base.where(F.size("__blocks") > 0).select("path", "__t", F.explode("__blocks").alias("block"))
+    if whole:
+        ours = templates(files.sparkSession, given).select(F.explode(terms(F.col("text"))).alias("t")).distinct().collect()
+        named = named.where(F.arrays_overlap(terms(F.col("block")), F.array(*(F.lit(r.t) for r in sorted(ours)))))
     marked = named.select(F.md5("block").alias("bid"), "block").distinct()
-    best = stored(best_licenses(stored(marked, "blocks")), "licences")
+    best = stored(best_licenses(stored(marked, "blocks"), given), "licences")
     # few distinct blocks match; each file keeps its best
     own = (
         named.select("path", "__t", F.md5("block").alias("bid")).join(if_small(best, 20_000), "bid").groupBy("path", "__t")
@@ -154,6 +186,11 @@ def op5_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(as_files(table(spark, sf_dir, "documents"))).select("doc_id", "path", "license", "origin", "score")
 
 
+def op5_licenses_whole(spark, sf_dir: str) -> DataFrame:
+    """All lines and paragraphs against all templates; ``op5_licenses`` answers its SQL, which has the gate."""
+    return scan(as_files(table(spark, sf_dir, "documents")), whole=True).select("doc_id", "path", "license", "origin", "score")
+
+
 def _sql() -> str:
     values = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
     return rf"""

@@ -8,7 +8,7 @@ from weftgraph.llm.decontaminate import OP6_SQL, op6_decontaminate
 from weftgraph.llm.html_extract import op7_html
 from weftgraph.llm.jaccard_join import OP9_SQL, op9_jaccard_join
 from weftgraph.llm.langid import op2_language
-from weftgraph.llm.licenses import OP5_SQL, op5_licenses
+from weftgraph.llm.licenses import OP5_SQL, op5_licenses, op5_licenses_whole
 from weftgraph.llm.quality import op1_quality
 from weftgraph.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from weftgraph.llm.toxicity import op10_toxicity
@@ -19,6 +19,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ann": op4_ann,
     "op5_licenses": op5_licenses,
+    "op5_licenses_whole": op5_licenses_whole,
     "op6_decontaminate": op6_decontaminate,
     "op7_html": op7_html,
     "op8_bpe": op8_bpe,

@@ -48,11 +48,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark"))
-    out = stored(found.select("doc_id").distinct(), "leaks")
-    small = if_small(out.withColumnRenamed("doc_id", "__id"))
-    return docs.join(small, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti").select(*COLUMNS)
+    """Rows that contain no benchmark item; null and repeated ids are told apart by their texts."""
+    row = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+    found = decontaminate.contained(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    out = stored(found.select(F.col("doc_id").alias("__row")).distinct(), "leaks")
+    return docs.withColumn("__row", row).join(if_small(out), "__row", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,13 @@ def test_emptied_documents_go(spark):
     text = " ".join(f"w{k}" for k in range(50))
     docs = spark.createDataFrame([(1, text, "aa", "s", 1), (2, text, "aa", "s", 1), (3, "other words", "aa", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()] == [3]
+
+
+def test_leaks_are_decided_by_row(spark, tmp_path):
+    item = " ".join(f"q{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = item.split()
+    texts = [(None, "before " + item), (None, "a clean text of its own"), (None, " ".join(words[:12])), (None, " ".join(words[8:])), (5, item + " after"), (5, "another clean text"), (6, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()]
+    assert sorted(kept, key=str) == sorted((texts[k] for k in (1, 2, 3, 5, 6)), key=str)

@@ -19,12 +19,14 @@ def project(x: Column | str, c: float) -> Column:
 
 
 def mobius_add(x: Column | str, y: Column | str, c: float) -> Column:
+    """x ⊕ y, pulled back inside the ball."""
+
     def add(a: Column, b: Column) -> Column:
         left = scaled(a, 1 + 2 * c * dot(a, b) + c * dot(b, b))
         right = scaled(b, 1 - c * dot(a, a))
         return scaled(plus(left, right), 1 / F.greatest(1 + 2 * c * dot(a, b) + c * c * dot(a, a) * dot(b, b), F.lit(TINY)))
 
-    return let(x, lambda a: let(y, lambda b: add(a, b)))
+    return project(let(x, lambda a: let(y, lambda b: add(a, b))), c)
 
 
 def exp_map(v: Column | str, c: float) -> Column:

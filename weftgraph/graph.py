@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -31,6 +31,13 @@ def features_of(df: DataFrame, skip: Sequence[str]) -> Column:
     return F.array(*(F.col(c).cast("double") for c in names)) if names else F.array().cast("array<double>")
 
 
+def row_digest(kind: str, columns: Sequence[str]) -> Column:
+    """An edge id that any partitioning gives alike: the row's digest and, as equal rows are
+    edges of their own, its number among those."""
+    digest = F.md5(F.to_json(F.struct(*columns)))
+    return F.concat(F.lit(f"{kind}:"), digest, F.lit("-"), F.row_number().over(Window.partitionBy(digest).orderBy(digest)).cast("string"))
+
+
 @dataclass(frozen=True)
 class Graph:
     """nodes(id, type, features), edges(eid, src, dst, type, weight, features).
@@ -76,7 +83,7 @@ class Graph:
                 raise GraphError(f"expected numeric weights in {weight_column!r} of {kind!r}")
             special = [source_column, target_column, weight_column, edge_id_column, *([edge_type_column] if edge_type_column else [])]
             made.append(df.select(
-                (F.col(edge_id_column).cast("string") if edge_id_column in df.columns else F.concat(F.lit(f"{kind}:"), F.monotonically_increasing_id().cast("string"))).alias("eid"),
+                (F.col(edge_id_column).cast("string") if edge_id_column in df.columns else row_digest(kind, df.columns)).alias("eid"),
                 F.col(source_column).cast("string").alias("src"), F.col(target_column).cast("string").alias("dst"),
                 (F.col(edge_type_column).cast("string") if edge_type_column else F.lit(kind)).alias("type"),
                 (F.coalesce(F.col(weight_column).cast("double"), F.lit(1.0)) if weight_column in df.columns else F.lit(1.0)).alias("weight"),

@@ -96,6 +96,7 @@ def propagate(adj: DataFrame, features: DataFrame, size: int) -> DataFrame:
 
 def propagate_k(adj: DataFrame, features: DataFrame, size: int, k: int) -> DataFrame:
     """A^k · X without the power of the matrix (simplified graph convolution)."""
+    adj = stored(adj.select("i", "j", "v"), "matrix")
     out = features.select("id", "features")
     for _ in range(k):
         out = stored(propagate(adj, out, size), "propagated")
@@ -106,6 +107,7 @@ def appnp(adj: DataFrame, features: DataFrame, size: int, *, k: int = 10, alpha:
     """Personalised propagation: k rounds of (1 − α) A H + α X."""
     if not 0 <= alpha <= 1:
         raise GraphError(f"expected 0 <= alpha <= 1, found {alpha!r}")
+    adj = stored(adj.select("i", "j", "v"), "matrix")
     x = features.select("id", F.col("features").alias("x0"))
     now = features.select("id", "features")
     for _ in range(k):

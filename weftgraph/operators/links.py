@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from weftgraph.functions import hyperbolic as H
 from weftgraph.functions import vectors as V
 from weftgraph.graph import GraphError
-from weftgraph.plans.staging import if_small
+from weftgraph.plans.staging import stored
+
+#: Test triples that meet the entities in one pass.
+HEADS_AT_ONCE = 4096
 
 
 def link_embedding(u: Column | str, v: Column | str, method: str = "ip", activation: str = "linear") -> Column:
@@ -93,27 +96,34 @@ def rank_triples(test: DataFrame, known: DataFrame, entities: DataFrame, relatio
     its place.  Filtered ranks leave out other known edges.  Ties: 'top' ranks before equals,
     'bottom' after, 'random' half-way between by the triple's hash.
 
-    Test triples are a stated set, and each meets every entity: (src, type) pairs are
-    scored once, however many test triples share them."""
+    Test triples are a stated set, and each meets every entity."""
     if tie not in ("top", "bottom", "random"):
         raise GraphError(f"expected ties 'top', 'bottom' or 'random', found {tie!r}")
     f = SCORES[score] if isinstance(score, str) else score
     fixed = "src" if side == "dst" else "dst"
-    asked = test.select(fixed, "type").distinct()
     e = entities.select("id", "e")
-    heads = asked.join(e.select(F.col("id").alias(fixed), F.col("e").alias("__f")), fixed).join(relations.select("type", F.col("r").alias("__r")), "type")
-    # a stated query set against all rows
-    pairs = e.join(if_small(heads, 10_000), F.lit(True))
-    value = f(F.col("__f"), F.col("__r"), F.col("e")) if side == "dst" else f(F.col("e"), F.col("__r"), F.col("__f"))
-    scored = pairs.select(fixed, "type", F.col("id").alias(side), value.alias("score"))
     truth = score_triples(test.select("src", "type", "dst").distinct(), entities, relations, f).withColumnRenamed("score", "true_score").withColumnRenamed(side, "__true")
-    other = known.select("src", "type", "dst").distinct().withColumn("known", F.lit(1))
-    met = scored.join(other, ["src", "type", "dst"], "left").join(truth, [fixed, "type"])
+    heads = truth.join(e.select(F.col("id").alias(fixed), F.col("e").alias("__f")), fixed).join(relations.select("type", F.col("r").alias("__r")), "type")
+    heads = stored(heads, "heads")
     more, same = F.col("score") > F.col("true_score"), (F.col("score") == F.col("true_score")) & (F.col(side) != F.col("__true"))
-    free = F.col("known").isNull()
-    agg = met.groupBy(fixed, "type", "__true").agg(
-        *(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in (("rm", more), ("rs", same), ("fm", more & free), ("fs", same & free)))
-    )
+
+    def counted(rows: DataFrame, first: str, second: str) -> DataFrame:
+        return rows.groupBy(fixed, "type", "__true").agg(*(F.sum(F.when(c, 1).otherwise(0)).alias(n) for n, c in ((first, more), (second, same))))
+
+    # a stated query set against all rows, a bounded block of it at a time; counts combine before they are shuffled
+    blocks = max(1, -(-heads.count() // HEADS_AT_ONCE))
+    agg = None
+    for k in range(blocks):
+        part = heads if blocks == 1 else heads.where(F.pmod(F.xxhash64(fixed, "type", "__true"), F.lit(blocks)) == k)
+        pairs = e.join(F.broadcast(part), F.lit(True))
+        value = f(F.col("__f"), F.col("__r"), F.col("e")) if side == "dst" else f(F.col("e"), F.col("__r"), F.col("__f"))
+        one = counted(pairs.select(fixed, "type", "__true", "true_score", F.col("id").alias(side), value.alias("score")), "rm", "rs")
+        agg = one if agg is None else agg.unionByName(one)
+    # known edges of the same heads are scored apart and taken off
+    other = known.select("src", "type", "dst").distinct().join(heads.select(fixed, "type").distinct(), [fixed, "type"], "left_semi")
+    met = score_triples(other, entities, relations, f).join(heads.select(fixed, "type", "__true", "true_score"), [fixed, "type"])
+    agg = agg.join(counted(met, "km", "ks"), [fixed, "type", "__true"], "left")
+    agg = agg.withColumns({"fm": F.col("rm") - F.coalesce("km", F.lit(0)), "fs": F.col("rs") - F.coalesce("ks", F.lit(0))})
     share = {"top": F.lit(0.0), "bottom": F.lit(1.0), "random": F.pmod(F.xxhash64(fixed, "type", "__true"), F.lit(1000)) / 1000}[tie]
     extra = 1 if tie == "random" else 0
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions.rng import draw, slot
 from weftgraph.graph import Graph, GraphError
 from weftgraph.operators.adjacency import edges_with_types, half_edges, positioned
-from weftgraph.plans.staging import stored
+from weftgraph.operators.walks import cell_of, drawn_by_weight, weight_cells
+from weftgraph.plans.staging import if_small, stored
 
 
 def sampled_bfs(graph: Graph, heads: DataFrame, sizes: Sequence[int], *, n: int = 1, weighted: bool = False, seed: int = 42, direction: str = "both") -> DataFrame:
@@ -21,7 +22,7 @@ def sampled_bfs(graph: Graph, heads: DataFrame, sizes: Sequence[int], *, n: int
     is nothing to draw, node is null, and so are all below it.
     """
     check_sizes(sizes, n)
-    adj = positioned(graph, direction)
+    adj = Neighbours(positioned(graph, direction), weighted)
     ids = heads.select(F.col("id").cast("string").alias("root")).distinct()
     now = ids.select("root", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"), F.lit(0).cast("long").alias("slot"), F.col("root").alias("node"))
     out = now.select("root", "rep", F.lit(0).alias("hop"), "slot", "node")
@@ -32,7 +33,8 @@ def sampled_bfs(graph: Graph, heads: DataFrame, sizes: Sequence[int], *, n: int
         child = now.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).select(
             "root", "rep", (F.col("slot") * size + F.col("k")).alias("slot"), "node"
         )
-        now = draw_neighbour(child, adj, ("root", "rep", F.lit(hop), "slot"), seed, weighted)
+        # read by the result and by the next hop
+        now = stored(adj.drawn(child, ("root", "rep", F.lit(hop), "slot"), seed), "hop")
         out = out.unionByName(now.select("root", "rep", F.lit(hop).alias("hop"), "slot", "node"))
     return out
 
@@ -44,18 +46,30 @@ def check_sizes(sizes: Sequence[int], n: int) -> None:
         raise GraphError(f"expected n to be a whole number of at least 1, found {n!r}")
 
 
-def draw_neighbour(rows: DataFrame, adj: DataFrame, key: Sequence, seed: int, weighted: bool, on: Sequence[str] = ("node",)) -> DataFrame:
-    """The rows with node replaced by a drawn neighbour, or null."""
-    keep = [c for c in rows.columns if c != "node"]
-    if weighted:
-        u = rows.withColumn("__u", draw(seed, *key))
-        target = F.col("__u") * F.col("total")
-        pick = (F.col("weight") > 0) & (F.col("cum") >= target) & ((F.col("cum") - F.col("weight") < target) | ((F.col("__u") == 0) & (F.col("cum") == F.col("weight"))))
-        found = u.join(adj, list(on)).where(pick).select(*keep, "nbr")
-        return rows.select(*keep).join(found, keep, "left").select(*keep, F.col("nbr").alias("node"))
-    count = adj.where("pos = 0").select(*on, "degree")
-    put = rows.join(count, list(on), "left").withColumn("pos", slot(seed, F.col("degree"), *key))
-    return put.join(adj.select(*on, "pos", "nbr"), [*on, "pos"], "left").select(*keep, F.col("nbr").alias("node"))
+class Neighbours:
+    """The neighbours of positioned(…), written out once, from which draws are made."""
+
+    def __init__(self, adj: DataFrame, weighted: bool = False, on: Sequence[str] = ("node",)):
+        self.on, self.weighted = list(on), weighted
+        self.adj = stored(weight_cells(adj, on) if weighted else adj.select(*on, "pos", "nbr"), "neighbours")
+        self.count = stored(adj.where("pos = 0").select(*on, "degree"), "degrees")
+
+    def drawn(self, rows: DataFrame, key: Sequence, seed: int) -> DataFrame:
+        """The rows with node replaced by a drawn neighbour, or null.  Rows without a node, or whose
+        node has no neighbours, are looked up under keys of their own, so they don't gather in one task."""
+        keep = [c for c in rows.columns if c != "node"]
+        alone = F.concat_ws("|", F.lit("\0"), *(F.col(c).cast("string") for c in keep))
+        put = rows.withColumn("node", F.coalesce("node", alone)).join(self.count, self.on, "left")
+        put = put.withColumn("node", F.when(F.col("degree").isNull(), alone).otherwise(F.col("node")))
+        if not self.weighted:
+            put = put.withColumn("pos", F.coalesce(slot(seed, F.col("degree"), *key), F.lit(-1)))
+            return put.drop("degree").join(self.adj, [*self.on, "pos"], "left").select(*keep, F.col("nbr").alias("node"))
+        put = put.withColumn("__u", draw(seed, *key)).withColumn("__c", F.coalesce(cell_of(F.col("__u"), F.col("degree")), F.lit(-1))).drop("degree")
+        side = self.adj.select(*(F.col(c).alias(f"__{c}") for c in self.on), "cell", "nbr", "weight", "cum", "total")
+        same = F.col("__c") == F.col("cell")
+        for c in self.on:
+            same = same & (F.col(c) == F.col(f"__{c}"))
+        return put.join(side, same & drawn_by_weight(F.col("__u")), "left").select(*keep, F.col("nbr").alias("node"))
 
 
 def hin_bfs(graph: Graph, heads: DataFrame, sizes: Sequence[int], *, n: int = 1, seed: int = 42) -> DataFrame:
@@ -67,7 +81,8 @@ def hin_bfs(graph: Graph, heads: DataFrame, sizes: Sequence[int], *, n: int = 1,
     if not graph.directed:
         half = half.unionByName(ends.where("src <> dst").select(F.concat_ws("-", "dst_type", "type", "src_type").alias("triple"), F.col("dst").alias("node"), F.col("src").alias("nbr"), "eid", "weight", F.col("dst_type").alias("node_type"), F.col("src_type").alias("nbr_type")))
     group = W.partitionBy("node", "triple")
-    adj = half.select("node", "triple", (F.row_number().over(group.orderBy("eid", "nbr")) - 1).alias("pos"), "nbr", F.count(F.lit(1)).over(group).cast("int").alias("degree"))
+    half = stored(half, "typed-halves")
+    adj = Neighbours(half.select("node", "triple", (F.row_number().over(group.orderBy("eid", "nbr")) - 1).alias("pos"), "nbr", F.count(F.lit(1)).over(group).cast("int").alias("degree")), on=("node", "triple"))
     triples = F.broadcast(half.select("node_type", "triple", "nbr_type").distinct())  # one row a type triple
     ids = heads.select(F.col("id").cast("string").alias("id")).join(graph.nodes.select("id", "type"), "id").distinct()
     now = ids.select(
@@ -78,7 +93,7 @@ def hin_bfs(graph: Graph, heads: DataFrame, sizes: Sequence[int], *, n: int = 1,
     for hop, size in enumerate(sizes, 1):
         child = now.join(triples, "node_type").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))) if size else now.join(triples, "node_type").withColumn("k", F.lit(0)).where(F.lit(False))
         child = child.select("root", "rep", F.concat_ws("/", F.when(F.col("path") != "", F.col("path")), "triple").alias("path"), (F.col("slot") * size + F.col("k")).alias("slot"), F.col("nbr_type").alias("node_type"), "triple", "node")
-        now = draw_neighbour(child, adj, ("root", "rep", F.lit(hop), "path", "slot"), seed, False, on=("node", "triple")).drop("triple")
+        now = stored(adj.drawn(child, ("root", "rep", F.lit(hop), "path", "slot"), seed).drop("triple"), "hop")
         out = out.unionByName(now.select("root", "rep", F.lit(hop).alias("hop"), "path", "slot", "node_type", "node"))
     return out
 
@@ -91,7 +106,7 @@ def directed_bfs(graph: Graph, heads: DataFrame, in_sizes: Sequence[int], out_si
     if len(in_sizes) != len(out_sizes):
         raise GraphError("expected as many in sizes as out sizes")
     check_sizes([*in_sizes, *out_sizes], n)
-    adj = {"in": positioned(graph, "in"), "out": positioned(graph, "out")}
+    adj = {"in": Neighbours(positioned(graph, "in"), weighted), "out": Neighbours(positioned(graph, "out"), weighted)}
     ids = heads.select(F.col("id").cast("string").alias("root")).distinct()
     now = ids.select("root", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("slot"), F.col("root").alias("node"))
     out = now.select("root", "rep", F.lit(0).alias("hop"), "part", "slot", "node")
@@ -102,10 +117,10 @@ def directed_bfs(graph: Graph, heads: DataFrame, in_sizes: Sequence[int], out_si
                 child = now.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1)))).select(
                     "root", "rep", (F.col("part") * 2 + side).alias("part"), (F.col("slot") * size + F.col("k")).alias("slot"), "node"
                 )
-                sides.append(draw_neighbour(child, adj[way], ("root", "rep", "part", "slot"), seed, weighted))
+                sides.append(adj[way].drawn(child, ("root", "rep", "part", "slot"), seed))
         if not sides:
             break
-        now = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+        now = stored(sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]), "hop")
         out = out.unionByName(now.select("root", "rep", F.lit(hop).alias("hop"), "part", "slot", "node"))
     return out
 
@@ -130,19 +145,36 @@ def node_bins(graph: Graph, power: float, bins: int = 4096) -> tuple[DataFrame,
     return F.broadcast(table), nodes
 
 
+def cells_between(low, high, count):
+    """The cells, of ``count`` of width 1 / count of the whole, that a stretch of shares [low, high)
+    meets, and one to either side, for rounding."""
+    return F.sequence(F.greatest(F.floor(low * count).cast("long") - 1, F.lit(0)), F.least(F.floor(high * count).cast("long") + 1, count - 1))
+
+
 def draw_by_degree(graph: Graph, rows: DataFrame, u, power: float = 0.75) -> DataFrame:
-    """The rows with a node ``drawn`` from the distribution ∝ degree^power, by the draw u."""
+    """The rows with a node ``drawn`` from the distribution ∝ degree^power, by the draw u: a
+    look-up by cell among the bins, and one by cell among the nodes of the bin."""
     bins, nodes = node_bins(graph, power)
-    at = rows.withColumn("__u", u).join(bins, (F.col("__u") * F.col("all").cast("double") >= F.col("blo").cast("double")) & (F.col("__u") * F.col("all").cast("double") < F.col("bhi").cast("double")))
-    at = at.withColumn("__v", F.col("__u") * F.col("all").cast("double") - F.col("blo").cast("double")).drop("__u", "all", "blo", "bhi")
-    found = at.join(nodes, "bin").where((F.col("__v") >= F.col("lo").cast("double")) & (F.col("__v") < F.col("hi").cast("double")))
-    return found.withColumnRenamed("node", "drawn").drop("bin", "__v", "lo", "hi")
+    nodes = stored(nodes, "weighted-nodes")
+    number = F.lit(4096).cast("long")
+    share = lambda c: F.col(c).cast("double") / F.col("all").cast("double")
+    sizes = nodes.groupBy("bin").agg(F.count(F.lit(1)).alias("nodes"), F.max(F.col("hi")).cast("double").alias("sum"))
+    table = bins.select("*", F.explode(cells_between(share("blo"), share("bhi"), number)).alias("cell")).join(sizes, "bin")
+    table = F.broadcast(stored(table, "bin-cells"))  # each of 4096 bins in four cells or so
+    at = rows.withColumn("__u", u).withColumn("cell", F.least(F.floor(F.col("__u") * number).cast("long"), number - 1)).join(table, "cell")
+    point = F.col("__u") * F.col("all").cast("double")
+    at = at.where((point >= F.col("blo").cast("double")) & (point < F.col("bhi").cast("double"))).withColumn("__v", point - F.col("blo").cast("double"))
+    at = at.withColumn("cell", F.least(F.greatest(F.floor(F.col("__v") / F.col("sum") * F.col("nodes")).cast("long"), F.lit(0)), F.col("nodes") - 1)).drop("__u", "all", "blo", "bhi", "sum", "nodes")
+    inner = nodes.join(F.broadcast(stored(sizes, "bins")), "bin")  # a row a bin
+    inner = inner.select("bin", "node", "lo", "hi", F.explode(cells_between(F.col("lo").cast("double") / F.col("sum"), F.col("hi").cast("double") / F.col("sum"), F.col("nodes"))).alias("cell"))
+    found = at.join(inner, ["bin", "cell"]).where((F.col("__v") >= F.col("lo").cast("double")) & (F.col("__v") < F.col("hi").cast("double")))
+    return found.withColumnRenamed("node", "drawn").drop("bin", "cell", "__v", "lo", "hi")
 
 
 def unsupervised_samples(graph: Graph, walks: DataFrame, *, seed: int = 42, power: float = 0.75) -> DataFrame:
     """(src, dst, label): context pairs as 1, and as many pairs of the same roots with nodes
     drawn by degree^power as 0; negatives aren't checked against edges."""
-    pairs = context_pairs(walks)
+    pairs = stored(context_pairs(walks), "pairs")
     drawn = draw_by_degree(graph, pairs.select("root", "walk", "step", "src"), draw(seed, F.lit("negative"), "root", "walk", "step"), power)
     return pairs.select("src", "dst", F.lit(1).alias("label")).unionByName(drawn.select("src", F.col("drawn").alias("dst"), F.lit(0).alias("label")))
 
@@ -154,11 +186,11 @@ def kg_negatives(edges: DataFrame, entities: DataFrame, k: int, *, seed: int = 4
     entities(id, n): ids numbered from 0; (see ``numbered``)."""
     if labels not in ("uniform", "self-adversarial"):
         raise GraphError(f"expected labels 'uniform' or 'self-adversarial', found {labels!r}")
+    entities, base = stored(entities, "entities"), stored(edges.select("eid", "src", "type", "dst"), "triples")
     total = entities.count()
-    base = edges.select("eid", "src", "type", "dst")
     copies = base.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))
     copies = copies.withColumn("n", F.floor(draw(seed, F.lit("entity"), "eid", "copy") * total).cast("long")).withColumn("head", draw(seed, F.lit("side"), "eid", "copy") < 0.5)
-    bad = copies.join(entities.select(F.col("id").alias("new"), "n"), "n").select(
+    bad = copies.join(if_small(entities.select(F.col("id").alias("new"), "n")), "n").select(
         "eid", "copy", F.when(F.col("head"), F.col("new")).otherwise(F.col("src")).alias("src"), "type", F.when(F.col("head"), F.col("dst")).otherwise(F.col("new")).alias("dst"),
         (F.lit(0) if labels == "uniform" else -F.col("copy")).cast("int").alias("label"),
     )

@@ -14,10 +14,11 @@ def neighbors_after(edges: DataFrame, *, time: str = "ts") -> DataFrame:
     target; a strict inequality found by a window over the target's edges, not by pairing them."""
     marks = edges.select(F.col("dst").alias("node"), F.col(time).alias("t"), F.lit(1).alias("kind"), F.struct("src", "dst").alias("edge"), F.lit(None).cast("string").alias("nbr"))
     leave = edges.select(F.col("src").alias("node"), F.col(time).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("struct<src:string,dst:string>").alias("edge"), F.col("dst").alias("nbr"))
-    # at equal times departures come first, so that what follows a mark is strictly later
-    later = W.partitionBy("node").orderBy("t", "kind").rowsBetween(1, W.unboundedFollowing)
-    first = F.first(F.when(F.col("kind") == 0, F.struct("t", "nbr")), ignorenulls=True).over(later)
-    return marks.unionByName(leave).withColumn("n", first).where("kind = 1").select("edge.src", "edge.dst", F.col("t").alias("time"), F.col("n.nbr").alias("next"), F.col("n.t").alias("next_time"))
+    # backwards in time, marks before departures of the same time: the last departure seen is the
+    # next one, strictly later; a frame that only grows is kept up row by row
+    seen = W.partitionBy("node").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") == 0, F.struct("t", "nbr")), ignorenulls=True).over(seen)
+    return marks.unionByName(leave).withColumn("n", last).where("kind = 1").select("edge.src", "edge.dst", F.col("t").alias("time"), F.col("n.nbr").alias("next"), F.col("n.t").alias("next_time"))
 
 
 def sliding_windows(series: DataFrame, *, node: str = "node", t: str = "t", value: str = "value", size: int, distance: int | None = None) -> DataFrame:

@@ -43,6 +43,25 @@ def gathered(now: DataFrame, later: list[DataFrame]) -> DataFrame:
     return out
 
 
+def by_step(walkers: DataFrame) -> DataFrame:
+    """(root, walk, step, node) of walkers with their path."""
+    return walkers.select("root", "walk", F.posexplode("path").alias("step", "node"))
+
+
+def resting() -> Column:
+    """A node id of its own for a walker that has ended: it meets nothing, and ended walkers
+    don't gather in one task."""
+    return F.concat_ws("|", F.lit("\0"), "root", "walk")
+
+
+def stepped(walkers: DataFrame, next_degree: str | None = None) -> DataFrame:
+    """Walkers after a join that gave them ``nbr``, or null where the walk ends."""
+    return walkers.select(
+        "root", "walk", F.when(F.col("nbr").isNotNull(), F.concat("path", F.array("nbr"))).otherwise(F.col("path")).alias("path"),
+        F.coalesce(F.col("nbr"), resting()).alias("node"), *([F.col(next_degree).alias("degree")] if next_degree else []),
+    )
+
+
 def as_arrays(walks: DataFrame) -> DataFrame:
     """(root, walk, nodes): each walk's nodes in order."""
     steps = F.array_sort(F.collect_list(F.struct("step", "node")))
@@ -52,37 +71,58 @@ def as_arrays(walks: DataFrame) -> DataFrame:
 def uniform_walks(graph: Graph, roots: DataFrame, *, n: int = 1, length: int = 5, seed: int = 42, direction: str = "both") -> DataFrame:
     """n walks of up to ``length`` nodes from each root, next nodes drawn evenly by edge."""
     check_run(n, length, seed)
-    adj = positioned(graph, direction).select("node", "pos", "nbr", "degree")
-    count = adj.where("pos = 0").select("node", "degree")
-    onward = adj.join(count.select(F.col("node").alias("nbr"), F.col("degree").alias("next_degree")), "nbr", "left").select("node", "pos", "nbr", "next_degree")
-    now = starts(roots, n).join(count, "node", "left").select("root", "walk", "node", "degree")
-    done = [now.select("root", "walk", F.lit(0).alias("step"), "node")]
+    count = half_edges(graph, direction).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("degree"))
+    onward = positioned(graph, direction).select("node", "pos", "nbr").join(count.select(F.col("node").alias("nbr"), F.col("degree").alias("next_degree")), "nbr", "left")
+    onward = stored(onward.select("node", "pos", "nbr", "next_degree"), "positions")
+    now = starts(roots, n).join(count, "node", "left").select("root", "walk", F.array("node").alias("path"), "node", "degree")
     for step in range(1, length):
-        live = now.where("degree > 0").withColumn("pos", slot(seed, F.col("degree"), "root", "walk", step))
-        now = live.join(onward, ["node", "pos"]).select("root", "walk", F.col("nbr").alias("node"), F.col("next_degree").alias("degree"))
+        pos = F.when(F.col("degree") > 0, slot(seed, F.col("degree"), "root", "walk", step)).otherwise(F.lit(-1))
+        at = F.when(F.col("degree") > 0, F.col("node")).otherwise(resting())
+        now = stepped(now.withColumns({"pos": pos, "node": at}).join(onward, ["node", "pos"], "left"), "next_degree")
         if step % STEPS_PER_PLAN == 0:
             now = stored(now, "walkers")
-        done.append(now.select("root", "walk", F.lit(step).alias("step"), "node"))
-    return gathered(done[0], done[1:])
+    return by_step(now)
+
+
+def weight_cells(adj: DataFrame, by: Sequence[str] = ("node",)) -> DataFrame:
+    """Neighbours of positioned(…) addressed by cell: the total weight of a node is cut into as
+    many equal cells as it has neighbours, and a neighbour is listed in the cells its share of the
+    running weight meets (and one to either side, for rounding): at most four times the edges.
+    A draw u needs the neighbours of cell floor(u × degree) only."""
+    a = adj.where("weight > 0")
+    low, high = (F.col("cum") - F.col("weight")) / F.col("total") * F.col("degree"), F.col("cum") / F.col("total") * F.col("degree")
+    cells = F.sequence(F.greatest(F.floor(low).cast("int") - 1, F.lit(0)), F.least(F.floor(high).cast("int") + 1, F.col("degree") - 1))
+    return a.select(*by, F.explode(cells).alias("cell"), "nbr", "weight", "cum", "total")
+
+
+def cell_of(u: Column, degree: Column) -> Column:
+    return F.least(F.floor(u * degree).cast("int"), degree - 1)
+
+
+def drawn_by_weight(u: Column) -> Column:
+    """Whether a neighbour is the draw's: the weights before it fall short of the target, its own
+    reaches it; a draw of 0 takes the first."""
+    target = u * F.col("total")
+    return (F.col("cum") >= target) & ((F.col("cum") - F.col("weight") < target) | ((u == 0) & (F.col("cum") == F.col("weight"))))
 
 
 def weighted_walks(graph: Graph, roots: DataFrame, *, n: int = 1, length: int = 5, seed: int = 42, direction: str = "both") -> DataFrame:
     """Like uniform_walks, with next nodes drawn by edge weight: the first neighbour whose
     running weight reaches draw × total.  Nodes whose weights are all 0 end a walk."""
     check_run(n, length, seed)
-    adj = positioned(graph, direction).where("weight > 0").select("node", "nbr", "weight", "cum", "total")
-    now = starts(roots, n)
-    done = [now.select("root", "walk", F.lit(0).alias("step"), "node")]
+    count = half_edges(graph, direction).groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("degree"))
+    onward = weight_cells(positioned(graph, direction)).join(count.select(F.col("node").alias("nbr"), F.col("degree").alias("next_degree")), "nbr", "left")
+    onward = stored(onward, "cells")
+    now = starts(roots, n).join(count, "node", "left").select("root", "walk", F.array("node").alias("path"), "node", "degree")
     for step in range(1, length):
+        live = F.col("degree") > 0
         u = now.withColumn("u", draw(seed, "root", "walk", step))
-        target = F.col("u") * F.col("total")
-        # weights before the neighbour fall short of the target; a draw of 0 takes the first
-        pick = (F.col("cum") >= target) & ((F.col("cum") - F.col("weight") < target) | ((F.col("u") == 0) & (F.col("cum") == F.col("weight"))))
-        now = u.join(adj, "node").where(pick).select("root", "walk", F.col("nbr").alias("node"))
+        u = u.withColumns({"at": F.when(live, F.col("node")).otherwise(resting()), "c": F.when(live, cell_of(F.col("u"), F.col("degree"))).otherwise(F.lit(-1))}).drop("node", "degree")
+        on = (F.col("at") == F.col("node")) & (F.col("c") == F.col("cell")) & drawn_by_weight(F.col("u"))
+        now = stepped(u.join(onward, on, "left"), "next_degree")
         if step % STEPS_PER_PLAN == 0:
             now = stored(now, "walkers")
-        done.append(now.select("root", "walk", F.lit(step).alias("step"), "node"))
-    return gathered(done[0], done[1:])
+    return by_step(now)
 
 
 def biased_walks(
@@ -94,7 +134,7 @@ def biased_walks(
     for name, value in (("p", p), ("q", q)):
         if not (value > 0 and math.isfinite(1 / value)):
             raise GraphError(f"expected 1/{name} to be positive and finite, found {name} = {value!r}")
-    adj = positioned(graph).select("node", "pos", "nbr", (F.col("weight") if weighted else F.lit(1.0)).alias("weight"))
+    adj = stored(positioned(graph).select("node", "pos", "nbr", (F.col("weight") if weighted else F.lit(1.0)).alias("weight")), "positions")
     if weighted and not graph.edges.where("weight < 0 or isnan(weight) or weight = double('infinity')").limit(1).isEmpty():
         raise GraphError("expected weights to be at least 0 and finite")
     near = half_edges(graph).select(F.col("node").alias("prev"), F.col("nbr")).distinct().withColumn("shared", F.lit(True))
@@ -112,32 +152,38 @@ def biased_walks(
         u = draw(seed, "root", "walk", step)
         pick = (F.col("w") > 0) & (F.col("cum") >= u * F.col("total"))
         now = running.where(pick).groupBy("root", "walk").agg(F.min(F.struct("cum", "nbr", "node")).alias("m")).select("root", "walk", F.col("m.nbr").alias("node"), F.col("m.node").alias("prev"))
-        if step % STEPS_PER_PLAN == 0:
-            now = stored(now, "walkers")
+        now = stored(now, "walkers")  # read by the result and by the next step
         done.append(now.select("root", "walk", F.lit(step).alias("step"), "node"))
     return gathered(done[0], done[1:])
 
 
-def metapath_walks(graph: Graph, roots: DataFrame, metapath: Sequence[str], *, n: int = 1, length: int = 5, seed: int = 42) -> DataFrame:
+def metapath_walks(graph: Graph, roots: DataFrame, metapath: Sequence[str] | Sequence[Sequence[str]], *, n: int = 1, length: int = 5, seed: int = 42) -> DataFrame:
     """Walks whose node types follow the metapath, cyclically; its first and last types are
-    equal.  Roots of another type start no walk."""
+    equal.  Roots of another type start no walk.  For several metapaths each gives its own n
+    walks, numbered on from those of the one before."""
     check_run(n, length, seed)
-    if len(metapath) < 2 or metapath[0] != metapath[-1]:
+    paths = [metapath] if metapath and isinstance(metapath[0], str) else list(metapath)
+    if not paths or any(len(p) < 2 or p[0] != p[-1] for p in paths):
         raise GraphError("expected a metapath of two types at least, the first equal to the last")
-    adj = positioned(graph, by=("nbr_type",)).select("node", "nbr_type", "pos", "nbr", "degree")
-    count = adj.where("pos = 0").select("node", "nbr_type", "degree")
-    kind = graph.nodes.where(F.col("type") == metapath[0]).select(F.col("id").alias("root"))
-    now = starts(roots, n).join(kind, "root", "left_semi")
-    done = [now.select("root", "walk", F.lit(0).alias("step"), "node")]
-    cycle = list(metapath[1:])
-    for step in range(1, length):
-        want = cycle[(step - 1) % len(cycle)]
-        live = now.join(count.where(F.col("nbr_type") == want), "node").withColumn("pos", slot(seed, F.col("degree"), "root", "walk", step))
-        now = live.select("root", "walk", "node", "pos").join(adj.where(F.col("nbr_type") == want), ["node", "pos"]).select("root", "walk", F.col("nbr").alias("node"))
-        if step % STEPS_PER_PLAN == 0:
-            now = stored(now, "walkers")
-        done.append(now.select("root", "walk", F.lit(step).alias("step"), "node"))
-    return gathered(done[0], done[1:])
+    adj = positioned(graph, by=("nbr_type",)).select("node", F.col("nbr_type").alias("kind"), "pos", "nbr", "degree")
+    adj = stored(adj, "positions")
+    count = adj.where("pos = 0").select("node", "kind", "degree")
+    out = None
+    for k, path in enumerate(paths):
+        kind = graph.nodes.where(F.col("type") == path[0]).select(F.col("id").alias("root"))
+        now = starts(roots, n).join(kind, "root", "left_semi").select("root", (F.col("walk") + k * n).alias("walk"), F.array("node").alias("path"), "node")
+        cycle = list(path[1:])
+        for step in range(1, length):
+            want = cycle[(step - 1) % len(cycle)]
+            # the type drawn has to be there: a node without a neighbour of it ends the walk
+            here = now.join(count.where(F.col("kind") == want).select("node", "degree"), "node", "left")
+            here = here.withColumn("pos", F.coalesce(slot(seed, F.col("degree"), "root", "walk", step), F.lit(-1))).drop("degree")
+            here = here.withColumn("node", F.when(F.col("pos") < 0, resting()).otherwise(F.col("node")))
+            now = stepped(here.join(adj.where(F.col("kind") == want).select("node", "pos", "nbr"), ["node", "pos"], "left"))
+            if step % STEPS_PER_PLAN == 0:
+                now = stored(now, "walkers")
+        out = by_step(now) if out is None else out.unionByName(by_step(now))
+    return out
 
 
 def weighted_pick(options: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column, u: Column, keep: Sequence[str]) -> DataFrame:
@@ -194,8 +240,7 @@ def temporal_walks(
             steps.append(now.select("walk", F.lit(step).alias("step"), "node", "time"))
         made = stored(gathered(steps[0], steps[1:]), "walks")
         long = made.groupBy("walk").agg((F.max("step") + 2 - cw_size).alias("windows")).where("windows >= 1")
-        kept = made.join(long, "walk") if kept is None else kept.unionByName(made.join(long, "walk"))
-        kept = stored(kept, "kept")
+        kept = stored(made.join(long, "walk") if kept is None else kept.unionByName(made.join(long, "walk")), "kept")
         first += size
         # walks number num_cw windows or little more, whatever the graph's size
         got = kept.select("walk", "windows").distinct().withColumn("before", F.sum("windows").over(W.orderBy("walk")) - F.col("windows"))

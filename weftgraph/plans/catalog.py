@@ -193,7 +193,7 @@ def walk_sql(length: int, draws: str, kind: str = "uniform", seed: int = 42) ->
         else:
             u = draw_sql(seed, "w.root", "w.walk", str(s))
             on = f"a.node = w.node AND a.weight > 0 AND a.cum >= {u} * a.total AND (a.cum - a.weight < {u} * a.total OR ({u} = 0 AND a.cum = a.weight))"
-        ctes.append(f"w{s} AS (SELECT w.root, w.walk, a.nbr AS node FROM w{s - 1} w JOIN adj a ON {on})")
+        ctes.append(f"w{s} AS MATERIALIZED (SELECT w.root, w.walk, a.nbr AS node FROM w{s - 1} w JOIN adj a ON {on})")
         union.append(f"SELECT root, walk, {s}, node FROM w{s}")
     return f"{draws},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(union)
 
@@ -233,7 +233,7 @@ def metapath_sql(path: list[str], length: int, seed: int = 42) -> str:
     union = ["SELECT root, walk, 0 AS step, node FROM w0"]
     for s in range(1, length):
         want = path[1:][(s - 1) % (len(path) - 1)]
-        ctes.append(f"w{s} AS (SELECT w.root, w.walk, a.nbr AS node FROM w{s - 1} w JOIN adj a ON a.node = w.node AND a.nbr_type = '{want}' AND a.pos = {slot_sql(seed, 'a.degree', 'w.root', 'w.walk', str(s))})")
+        ctes.append(f"w{s} AS MATERIALIZED (SELECT w.root, w.walk, a.nbr AS node FROM w{s - 1} w JOIN adj a ON a.node = w.node AND a.nbr_type = '{want}' AND a.pos = {slot_sql(seed, 'a.degree', 'w.root', 'w.walk', str(s))})")
         union.append(f"SELECT root, walk, {s}, node FROM w{s}")
     return f"{HET_HALF},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(union)
 
@@ -250,7 +250,7 @@ def bfs_sql(sizes: list[int], weighted: bool = False, seed: int = 42) -> str:
         ctes.append(f"k{h} AS (SELECT root, rep, slot * {size} + unnest(range({size})) AS slot, node FROM b{h - 1})")
         u = draw_sql(seed, "k.root", "k.rep", str(h), "k.slot")
         on = f"a.pos = CAST(floor({u} * a.degree) AS INT)" if not weighted else f"a.weight > 0 AND a.cum >= {u} * a.total AND (a.cum - a.weight < {u} * a.total OR ({u} = 0 AND a.cum = a.weight))"
-        ctes.append(f"b{h} AS (SELECT k.root, k.rep, k.slot, a.nbr AS node FROM k{h} k LEFT JOIN adj a ON a.node = k.node AND {on})")
+        ctes.append(f"b{h} AS MATERIALIZED (SELECT k.root, k.rep, k.slot, a.nbr AS node FROM k{h} k LEFT JOIN adj a ON a.node = k.node AND {on})")
         union.append(f"SELECT root, rep, {h}, slot, node FROM b{h}")
     return f"{OP_ADJ},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(union)
 
@@ -278,7 +278,7 @@ def directed_bfs_sql(seed: int = 42) -> str:
         for side, adj in ((1, "ia"), (2, "oa")):
             ctes.append(f"k{h}{side} AS (SELECT root, rep, part * 2 + {side} AS part, slot * 2 + unnest(range(2)) AS slot, node FROM b{h - 1})")
             sides.append(f"SELECT k.root, k.rep, k.part, k.slot, a.nbr AS node FROM k{h}{side} k LEFT JOIN {adj} a ON a.node = k.node AND a.pos = {slot_sql(seed, 'a.degree', 'k.root', 'k.rep', 'k.part', 'k.slot')}")
-        ctes.append(f"b{h} AS ({' UNION ALL '.join(sides)})")
+        ctes.append(f"b{h} AS MATERIALIZED ({' UNION ALL '.join(sides)})")
         union.append(f"SELECT root, rep, {h}, part, slot, node FROM b{h}")
     return f"{OP},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(union)
 
@@ -299,7 +299,7 @@ def hin_sql(sizes: list[int], seed: int = 42) -> str:
     union = ["SELECT root, rep, 0 AS hop, path, slot, node_type, node FROM b0"]
     for h, size in enumerate(sizes, 1):
         ctes.append(f"k{h} AS (SELECT root, rep, CASE WHEN path = '' THEN triple ELSE path || '/' || triple END AS path, slot * {size} + unnest(range({size})) AS slot, nbr_type AS node_type, triple, node FROM b{h - 1} JOIN tr USING (node_type))")
-        ctes.append(f"b{h} AS (SELECT k.root, k.rep, k.path, k.slot, k.node_type, a.nbr AS node FROM k{h} k LEFT JOIN adj a ON a.node = k.node AND a.triple = k.triple AND a.pos = {slot_sql(seed, 'a.degree', 'k.root', 'k.rep', str(h), 'k.path', 'k.slot')})")
+        ctes.append(f"b{h} AS MATERIALIZED (SELECT k.root, k.rep, k.path, k.slot, k.node_type, a.nbr AS node FROM k{h} k LEFT JOIN adj a ON a.node = k.node AND a.triple = k.triple AND a.pos = {slot_sql(seed, 'a.degree', 'k.root', 'k.rep', str(h), 'k.path', 'k.slot')})")
         union.append(f"SELECT root, rep, {h}, path, slot, node_type, node FROM b{h}")
     return f"{HET},\n" + ",\n".join(ctes) + "\n" + " UNION ALL ".join(union)
 

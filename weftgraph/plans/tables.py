@@ -96,11 +96,11 @@ def het_sql() -> str:
     return f"nodes AS ({nodes}),\nedges AS ({edges})"
 
 
-HALF_SQL = """half AS (SELECT src AS node, dst AS nbr, eid, type, weight FROM edges UNION ALL SELECT dst, src, eid, type, weight FROM edges WHERE src <> dst)"""
+HALF_SQL = """half AS MATERIALIZED (SELECT src AS node, dst AS nbr, eid, type, weight FROM edges UNION ALL SELECT dst, src, eid, type, weight FROM edges WHERE src <> dst)"""
 
 
 def adj_sql(source: str = "half", name: str = "adj", by: str = "node") -> str:
-    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY eid, nbr) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS degree,
+    return f"""{name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY eid, nbr) - 1 AS pos, count(*) OVER (PARTITION BY {by}) AS degree,
   sum(weight) OVER (PARTITION BY {by} ORDER BY eid, nbr ROWS UNBOUNDED PRECEDING) AS cum, sum(weight) OVER (PARTITION BY {by}) AS total FROM {source})"""
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, infer_nodes
@@ -99,9 +99,12 @@ def timed_edges_graph(spark: SparkSession, path: str, *, sep: str = " ", comment
 
 
 def line_numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): the file's lines numbered from 1."""
-    rdd = spark.sparkContext.textFile(path).zipWithIndex().map(lambda x: (x[1] + 1, x[0]))
-    return spark.createDataFrame(rdd, "n long, value string")
+    """(n, value): the file's lines numbered from 1, by counts of the lines in each part of it."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("m"))
+    lines = lines.select("value", F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND(F.lit((1 << 33) - 1)).alias("k"))
+    count = lines.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.orderBy("part")) - F.col("c")  # a row a part of the file
+    return lines.join(F.broadcast(count.select("part", before.alias("before"))), "part").select((F.col("before") + F.col("k") + 1).alias("n"), "value")
 
 
 def kernel_graphs(spark: SparkSession, stem: str) -> tuple[DataFrame, DataFrame, DataFrame]:

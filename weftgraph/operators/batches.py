@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -107,18 +107,23 @@ def sort_pooling(features: DataFrame, k: int, size: int) -> DataFrame:
     return rows.select("graph_id", F.concat(flat, F.array_repeat(F.lit(0.0), k * size - F.size(flat))).alias("features"))
 
 
-def full_batch(graph: Graph, method: str = "gcn", *, k: int = 1, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+def full_batch(graph: Graph, method: str | Callable[[DataFrame, DataFrame], DataFrame] = "gcn", *, k: int = 1, weighted: bool = False, teleport: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """(features(id, features), matrix(i, j, v)) for full-batch models: method 'gcn', 'sgc' (its
-    power k), 'gat' (self loops) or 'none'."""
+    power k), 'ppnp' (personalised page rank with ``teleport``; n² entries), 'gat' (self loops),
+    'none', or a function of (matrix(i, j, v), nodes)."""
     from weftgraph.operators import linalg
 
     adj = adjacency_matrix(graph, weighted=weighted)
-    if method == "gcn":
+    if callable(method):
+        adj = method(adj, graph.nodes)
+    elif method == "ppnp":
+        adj = linalg.ppr_matrix(gcn_matrix(adj, graph.nodes), graph.nodes, alpha=teleport)
+    elif method == "gcn":
         adj = gcn_matrix(adj, graph.nodes)
     elif method == "sgc":
         adj = linalg.power(gcn_matrix(adj, graph.nodes), k)
     elif method in ("gat", "self_loops"):
         adj = linalg.with_self_loops(adj, graph.nodes)
     elif method != "none":
-        raise GraphError(f"expected a method 'gcn', 'sgc', 'gat' or 'none', found {method!r}")
+        raise GraphError(f"expected a method 'gcn', 'sgc', 'ppnp', 'gat', 'none' or a function, found {method!r}")
     return graph.nodes.select("id", "features"), adj

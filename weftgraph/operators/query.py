@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, GraphError, shown
 from weftgraph.operators.adjacency import edges_with_types, half_edges
+from weftgraph.operators.sampling import numbered
 
 
 def type_triples(graph: Graph) -> DataFrame:
@@ -119,6 +120,13 @@ def cluster_edge_counts(graph: Graph, clusters: DataFrame) -> DataFrame:
     return found.withColumn("ratio", F.col("external") / F.greatest(F.col("internal"), F.lit(1)))
 
 
+def dense_ids(graph: Graph) -> DataFrame:
+    """(id, n, code): nodes numbered from 0, dense, in hash order, and their types' codes, in
+    the order of the types' names."""
+    codes = graph.nodes.select("type").distinct().withColumn("code", F.row_number().over(Window.orderBy("type")) - 1)  # a row a type
+    return numbered(graph.nodes.select("id", "type"), "id").join(F.broadcast(codes), "type").select("id", "n", F.col("code").cast("long").alias("code"))
+
+
 def id_differences(graph_ids: DataFrame, feature_ids: DataFrame) -> DataFrame:
     """(id, problem): 'missing' where the features lack a node, 'extra' where they have another."""
     missing = graph_ids.select("id").exceptAll(feature_ids.select("id")).withColumn("problem", F.lit("missing"))

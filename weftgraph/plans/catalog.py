@@ -734,3 +734,6 @@ def _(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("node"), F.struct("ts", "event_id").alias("t"), F.round(F.col("value") * 1000).cast("bigint").alias("value"))
     found = temporal.sequences(e, seq_len=4, pre_len=2)
     return found.select("node", F.col("start").cast("long").alias("start"), F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("x"), "y")
+
+
+from weftgraph.plans import more  # noqa: E402, F401  registers its queries too

@@ -9,12 +9,13 @@ anchor form a run; runs are counted whole first, and only where an anchor has
 several different runs are their windows counted one by one, once a distinct
 run.  Levels stop as soon as no candidate survives.
 
-Hashes are of 64 bits; counts at the last level are by anchor and window hash
-together, 128 bits.
+Counts at the last level are by two hashes of 64 bits together: the anchor's, and
+the window's from a second, independent hash of its words.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,23 +25,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_limits, if_small, stored, table, widened
+from weftgraph.llm.common import arrow_limits, bucketed, fresh_worker, split_join, stored, table, widened
 
 WINDOW = 35
 #: Short windows have a quarter of the length, rounded up: 9, 18, 35.
 QUARTER = 9
 HALF = 18
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Repeated anchors, or texts with candidates, that may be broadcast.
-SMALL_KEYS = 20_000
-SMALL_TEXTS = 400_000
 BATCH_BYTES = 2_000_000
 
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15
-BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+BASE = U(0x9E3779B97F4A7C15)
+#: Keys of the two word hashes; they are independent of each other.
+KEYS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: Words of more bytes are hashed by BLAKE2.
+LONG_WORD = 256
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: The lowest k bytes of a number.
+LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,41 +55,49 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of two adjacent windows."""
-    return mix(a * U(BASE) + (b ^ U(0x632BE59BD9B4E019)))
+    return mix(a * BASE + (b ^ U(0x632BE59BD9B4E019)))
+
+
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """The hash of each word data[start:end]: eight bytes at a time, mixed after each, so
+    that no two words collide by the structure of their letters.  Data ends in 8 spare bytes."""
+    size = end - start
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    h = mix(mix((eight[start] & LOWEST[np.minimum(size, 8)]) ^ U(key)) + size.astype(np.uint64))
+    live, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(live):
+        rest = size[live] - at
+        h[live] = joined(h[live], (eight[start[live] + at] & LOWEST[np.minimum(rest, 8)]) ^ U(key))
+        live, at = live[rest > 8], at + 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        digest = hashlib.blake2b(data[start[k] : end[k]], digest_size=8, key=key.to_bytes(8, "little")).digest()
+        h[k] = int.from_bytes(digest, "little")
+    return h
 
 
 class Words:
     """Word hashes of a batch of texts, each text's bytes whole."""
 
-    power: np.ndarray = np.ones(1, np.uint64)
-    inverse: np.ndarray = np.ones(1, np.uint64)
-
     def __init__(self, texts: list[bytes]):
-        data = b" ".join(texts)
-        a = np.frombuffer(data, np.uint8)
-        n = len(a)
-        if n + 1 > len(Words.power):
-            for name, base in (("power", BASE), ("inverse", pow(BASE, -1, 2**64))):
-                steps = np.full(2 * n + 2, U(base))
-                steps[0] = 1
-                setattr(Words, name, np.cumprod(steps, dtype=np.uint64))
-        blank = BLANK[a]
-        before = np.concatenate([[True], blank])[:n] if n else blank
-        after = np.concatenate([blank, [True]])[1:] if n else blank
-        self.start = np.flatnonzero(before & ~blank)
-        self.end = np.flatnonzero(after & ~blank) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[a] * Words.power[:n], dtype=np.uint64, out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * Words.inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        data = b" ".join([*texts, bytes(8)])
+        self.data = data
+        edge = np.ones(len(data) - 6, bool)
+        edge[1:-1] = BLANK[np.frombuffer(data, np.uint8, len(data) - 8)]
+        edge = np.flatnonzero(edge[1:] != edge[:-1])
+        self.start, self.end = edge[0::2], edge[1::2]
+        self.hash = word_hashes(data, self.start, self.end, KEYS[0])
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.doc = np.searchsorted(offsets, self.start, "right") - 1
-        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.data, self.texts = data, texts
-
-    def windows(self, length: int) -> np.ndarray:
-        """The hash of the window of length words at each position, by doubling;
-        positions whose window would pass the batch's end have none."""
-        parts, have, size = [], self.hash, 1
+        self.first = np.searchsorted(self.start, offsets)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+
+    def second(self) -> np.ndarray:
+        """Another hash of each word."""
+        return word_hashes(self.data, self.start, self.end, KEYS[1])
+
+    def windows(self, length: int, words: np.ndarray | None = None) -> np.ndarray:
+        """The hash of the window of length words at each position, by doubling, from the
+        word hashes given; positions whose window would pass the batch's end have none."""
+        parts, have, size = [], self.hash if words is None else words, 1
         rest = length
         while rest:
             if rest & size:
@@ -155,11 +166,12 @@ def signed(a: np.ndarray) -> pa.Array:
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds did and th, which name a text of a row; rows equal in both have equal texts
     (and so the same windows to remove)."""
-    return docs.withColumns({"__did": F.col("doc_id").cast("string"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, did, th, pos) of each anchor of each text."""
+    fresh_worker()
     for batch in batches:
         for first, texts in batches_of(batch, "text"):
             w = Words(texts)
@@ -168,7 +180,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = w.doc[place]
             take = pa.array(row + first)
             yield pa.RecordBatch.from_arrays(
-                [signed(short[place]), batch.column("__did").take(take), batch.column("__th").take(take), pa.array((place - w.first[row]).astype(np.int32))],
+                [signed(short[place]), batch.column("did").take(take), batch.column("th").take(take), pa.array((place - w.first[row]).astype(np.int32))],
                 ["h", "did", "th", "pos"],
             )
 
@@ -184,6 +196,7 @@ def flat(batch: pa.RecordBatch, first: int, n: int, column: str) -> tuple[np.nda
 def half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, did, th, pos): the windows of twice the length to either side of each
     surviving anchor, as far as they lie within the text."""
+    fresh_worker()
     for batch in batches:
         for first, texts in batches_of(batch, "text"):
             w = Words(texts)
@@ -195,7 +208,7 @@ def half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ok = (start >= w.first[row]) & (start + HALF <= w.first[row + 1])
                 take = pa.array(row[ok] + first)
                 yield pa.RecordBatch.from_arrays(
-                    [signed(half[start[ok]]), batch.column("__did").take(take), batch.column("__th").take(take), pa.array(pos[ok].astype(np.int32))],
+                    [signed(half[start[ok]]), batch.column("did").take(take), batch.column("th").take(take), pa.array(pos[ok].astype(np.int32))],
                     ["h", "did", "th", "pos"],
                 )
 
@@ -210,14 +223,16 @@ def runs_of(w: Words, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...
     ok = hi > lo
     lo, hi, at, row = lo[ok], hi[ok], at[ok], row[ok]
     begin, count = starts[lo], hi - lo
-    sums = np.concatenate([[U(0)], np.cumsum(w.hash * Words.power[: len(w.hash)], dtype=np.uint64)])
-    content = (sums[begin + count + WINDOW - 1] - sums[begin]) * Words.inverse[begin]
-    run = mix(mix(content) + U(64) * (at - begin).astype(np.uint64) + count.astype(np.uint64))
+    # the first and the last window cover the run, as no anchor has more windows than one has words
+    full = w.windows(WINDOW, w.second())
+    run = joined(full[begin], full[begin + count - 1])
+    run = mix(run + U(64) * (at - begin).astype(np.uint64) + count.astype(np.uint64))
     return short[at], run, begin, count, row
 
 
 def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, run, did, th, first, n) of each run."""
+    fresh_worker()
     for batch in batches:
         for first, texts in batches_of(batch, "text"):
             w = Words(texts)
@@ -225,17 +240,18 @@ def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, run, begin, count, row = runs_of(w, row, pos)
             take = pa.array(row + first)
             yield pa.RecordBatch.from_arrays(
-                [signed(h), signed(run), batch.column("__did").take(take), batch.column("__th").take(take), pa.array((begin - w.first[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                [signed(h), signed(run), batch.column("did").take(take), batch.column("th").take(take), pa.array((begin - w.first[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
                 ["h", "run", "did", "th", "first", "n"],
             )
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, run, at, win, copies): the windows of the runs named in a text's lists."""
+    fresh_worker()
     for batch in batches:
         for first, texts in batches_of(batch, "text"):
             w = Words(texts)
-            full = w.windows(WINDOW)
+            full = w.windows(WINDOW, w.second())
             row, begin = flat(batch, first, len(texts), "firsts")
             columns = {c: flat(batch, first, len(texts), c)[1] for c in ("hs", "runs", "ns", "copies")}
             n = columns["ns"].astype(np.int64)
@@ -251,6 +267,7 @@ def removal_rows(names: list[str]):
     """The rows with words counted, removed and the kept text added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             firsts, masks = batch.column("firsts").to_pylist(), batch.column("masks").to_pylist()
@@ -271,22 +288,16 @@ def removal_rows(names: list[str]):
                 removed.append(len(words) - len(left))
                 kept.append(" ".join(left))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                [*(batch.column("text") if c == "text" else batch.column("rest").field(c) for c in names), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                 [*names, "n_words", "n_removed", "kept_text"],
             )
 
     return run
 
 
-def on_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """The texts joined with what is known of them; the lists are broadcast while few."""
-    small = if_small(lists, SMALL_TEXTS)
-    return docs.join(small, docs["__did"].eqNullSafe(small["did"]) & (docs["__th"] == small["th"]), how).drop("did", "th")
-
-
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys found in more than one row, counted with partial sums."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("found")).where("found > 1").drop("found")
+    """Keys found in more than one row, with their rows counted by partial sums."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("found")).where("found > 1")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -296,55 +307,46 @@ def dedup(docs: DataFrame) -> DataFrame:
     the same text included, is removed; windows are judged on the input.  A null or
     empty text, or one of fewer words than a window, keeps all its words; repeated
     rows repeat each other; an empty table gives an empty one; further columns stay.
+    The texts are stored in buckets of their keys, and only lists of places move to them.
     """
     arrow_limits(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    base = keyed(docs.select(*names))
-    texts = base.select("text", "__did", "__th")
-    spot = "h long, did string, th long, pos int"
+    key, spot = ["did", "th"], "h long, did string, th long, pos int"
+    rest = F.struct(*(c for c in names if c != "text")).alias("rest")
+    base = bucketed(keyed(docs.select(rest, "doc_id", "text")).select(*key, "rest", "text"), "texts", *key)
+    texts = base.select(*key, "text")
 
     anchors = stored(texts.mapInArrow(anchor_rows, spot), "anchors")
-    twice = stored(repeated(anchors.select("h"), "h"), "anchors-twice")
-    alive = anchors.join(if_small(twice, SMALL_KEYS), "h", "left_semi")
-    lists = stored(alive.groupBy("did", "th").agg(F.collect_set("pos").alias("pos")), "candidates")
-    spots = stored(on_text(texts, lists, "inner").mapInArrow(half_rows, spot), "doubled")
-    more = stored(repeated(spots.select("h"), "h"), "doubled-twice")
-    alive = spots.join(if_small(more, SMALL_KEYS), "h", "left_semi").select("did", "th", "pos")
-    lists = stored(alive.groupBy("did", "th").agg(F.collect_set("pos").alias("pos")), "candidates")
-
-    runs = stored(
-        on_text(texts, lists, "inner").mapInArrow(run_rows, "h long, run long, did string, th long, first int, n int"), "runs"
-    )
+    alive = split_join(anchors, stored(repeated(anchors, "h"), "anchors-twice"), ["h"], "found", "left_semi")
+    lists = alive.groupBy(*key).agg(F.collect_set("pos").alias("pos"))
+    spots = stored(texts.join(lists, key).mapInArrow(half_rows, spot), "doubled")
+    alive = split_join(spots, stored(repeated(spots, "h"), "doubled-twice"), ["h"], "found", "left_semi")
+    lists = alive.groupBy(*key).agg(F.collect_set("pos").alias("pos"))
+    runs = stored(texts.join(lists, key).mapInArrow(run_rows, "h long, run long, did string, th long, first int, n int"), "runs")
     kinds = stored(
-        runs.groupBy("h", "run").agg(
-            F.count(F.lit(1)).alias("copies"), F.min(F.struct("did", "th", "first", "n")).alias("at")
-        ),
-        "kinds",
+        runs.groupBy("h", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("did", "th", "first", "n")).alias("at")), "kinds"
     )
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
-    mixed = kinds.join(several, "h", "left_semi")
-    alone = kinds.where("copies > 1").select("h", "run", F.expr("cast(shiftleft(1L, at.n) - 1 as long)").alias("mask"))
-    named = mixed.select("h", "run", "copies", "at.*").groupBy("did", "th").agg(
+    several = stored(repeated(kinds, "h"), "several")
+    mixed = split_join(kinds, several, ["h"], "found", "left_semi")
+    alone = kinds.where("copies > 1").select("h", "run", F.expr("cast(shiftleft(1L, at.n) - 1 as long)").alias("mask"), "copies")
+    named = mixed.select("h", "run", "copies", "at.*").groupBy(*key).agg(
         F.collect_list(F.struct("h", "run", "first", "n", "copies")).alias("w")
-    ).select("did", "th", F.col("w.h").alias("hs"), F.col("w.run").alias("runs"), F.col("w.first").alias("firsts"), F.col("w.n").alias("ns"), F.col("w.copies").alias("copies"))
-    windows = stored(
-        on_text(texts, stored(named, "named"), "inner").mapInArrow(window_rows, "h long, run long, at int, win long, copies long"),
-        "windows",
-    )
+    ).select(*key, F.col("w.h").alias("hs"), F.col("w.run").alias("runs"), F.col("w.first").alias("firsts"), F.col("w.n").alias("ns"), F.col("w.copies").alias("copies"))
+    windows = stored(texts.join(named, key).mapInArrow(window_rows, "h long, run long, at int, win long, copies long"), "windows")
     common = stored(
-        windows.groupBy("h", "win").agg(F.sum("copies").alias("copies")).where("copies > 1").select("h", "win"), "windows-twice"
+        windows.groupBy("h", "win").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("found")).where("copies > 1").drop("copies"), "windows-twice"
     )
     some = (
-        windows.join(if_small(common, SMALL_KEYS), ["h", "win"], "left_semi")
-        .groupBy("h", "run").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
+        split_join(windows, common, ["h", "win"], "found", "left_semi")
+        .groupBy("h", "run").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"), F.max("copies").alias("copies"))
     )
-    masks = alone.unionByName(some).groupBy("h", "run").agg(F.expr("bit_or(mask)").alias("mask"))
+    masks = alone.unionByName(some).groupBy("h", "run").agg(F.expr("bit_or(mask)").alias("mask"), F.max("copies").alias("copies"))
     spans = (
-        runs.join(if_small(stored(masks, "masks"), SMALL_KEYS), ["h", "run"])
-        .groupBy("did", "th").agg(F.collect_set(F.struct("first", "mask")).alias("s"))
-        .select("did", "th", F.col("s.first").alias("firsts"), F.col("s.mask").alias("masks"))
+        split_join(runs, stored(masks, "masks"), ["h", "run"], "copies")
+        .groupBy(*key).agg(F.collect_set(F.struct("first", "mask")).alias("s"))
+        .select(*key, F.col("s.first").alias("firsts"), F.col("s.mask").alias("masks"))
     )
-    found = on_text(base, stored(spans, "spans"), "left").select(*names, "firsts", "masks")
+    found = base.join(spans, key, "left").select("rest", "text", "firsts", "masks")
     schema = widened(docs.select(*names), n_words="long", n_removed="long", kept_text="string")
     return found.mapInArrow(removal_rows(names), schema)
 

@@ -222,3 +222,41 @@ def test_distmult_learns_all_triples(spark):
     assert len(kg.entities) == 200_107 and sorted(kg.relations) == ["r0", "r1", "r2"]
     with pytest.raises(GraphError):
         learn.fit_distmult(triples, size=2, epochs=1, most_triples=200_099)
+
+
+def test_attri2vec_tells_context_from_chance(spark):
+    from pyspark.sql import functions as F
+
+    from weftgraph.operators import learn
+
+    rows = [(f"n{k}", [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(40)]
+    table = spark.createDataFrame(rows, "id string, features array<double>")
+    pairs = [(f"n{a}", f"n{b}", int((a - b) % 2 == 0)) for a in range(40) for b in range(0, 40, 5)]
+    w = learn.fit_attri2vec(spark.createDataFrame(pairs, "src string, dst string, label int"), table, size=4, epochs=200)
+    found = {r.id: r.features for r in learn.attri2vec_embeddings(table, w).collect()}
+    assert found["n1"] == found["n3"] != found["n2"]
+    assert sum(abs(a - b) for a, b in zip(found["n1"], found["n2"])) > 0.2
+    empty = spark.createDataFrame([], "src string, dst string, label int")
+    try:
+        learn.fit_attri2vec(empty, table.where(F.lit(False)))
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_full_batch_page_rank_is_the_inverse(g):
+    import numpy as np
+
+    from weftgraph.operators import batches
+
+    ids = sorted(r.id for r in g.nodes.collect())
+    at = {x: k for k, x in enumerate(ids)}
+
+    def dense(df):
+        m = np.zeros((len(ids), len(ids)))
+        for r in df.collect():
+            m[at[r.i], at[r.j]] = r.v
+        return m
+
+    a = dense(batches.full_batch(g, "gcn")[1])
+    assert np.allclose(dense(batches.full_batch(g, "ppnp", teleport=0.2)[1]), 0.2 * np.linalg.inv(np.eye(len(ids)) - 0.8 * a), atol=1e-6)

@@ -114,3 +114,48 @@ def test_stream(spark, tmp_path, as_rows):
     q = streaming.append_edges(streaming.edge_counts(source, src="u", dst="k", ts="ts"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert as_rows(spark.read.parquet(str(tmp_path / "out")), "src", "dst", "n", "weight") == [("1", "c", 2, 3.0)]
+
+
+def test_object_features_in_every_form(spark):
+    import pandas as pd
+    import pytest
+
+    from weftgraph.graph import GraphError
+
+    toy = Toy()
+    for n, kind in (("a", "x"), ("b", "x"), ("c", "y")):
+        toy.add_node(n, label=kind)
+    toy.add_edge("a", "b", label="r", weight=1.0)
+    for features in ({"a": [1], "b": [2]}, [("a", [1]), ("b", [2])], pd.DataFrame({"f": [1, 2]}, index=["a", "b"]), {"x": {"a": [1], "b": [2]}}):
+        g = objects.from_object(spark, toy, features=features)
+        assert sorted((r.id, list(r.features)) for r in g.nodes.collect()) == [("a", [1.0]), ("b", [2.0]), ("c", [])]
+    with pytest.raises(GraphError, match="missing: 'b'"):
+        objects.from_object(spark, toy, features={"a": [1]})
+    with pytest.raises(GraphError, match="extra: 'z'"):
+        objects.from_object(spark, toy, features={"a": [1], "b": [2], "z": [3]})
+
+
+def test_largest_component_of_citations(spark, tmp_path, as_rows):
+    content = put(tmp_path, "c.content", "1\t1\tX\n2\t0\tY\n3\t1\tX\n4\t1\tX\n5\t1\tZ\n")
+    cites = put(tmp_path, "c.cites", "1\t2\n2\t3\n4\t5\n")
+    g, labels = text.citation_graph(spark, content, cites, largest_component=True)
+    assert as_rows(g.nodes, "id") == [("1",), ("2",), ("3",)] and as_rows(labels) == [("1", "X"), ("2", "Y"), ("3", "X")]
+    assert as_rows(g.edges, "src", "dst") == [("2", "1"), ("3", "2")]
+
+
+def test_line_numbers_follow_the_file(spark, tmp_path, as_rows):
+    path = put(tmp_path, "lines.txt", "".join(f"line {k}\n" for k in range(1, 2001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert as_rows(text.line_numbered(spark, path)) == [(k, f"line {k}") for k in range(1, 2001)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_edge_ids_are_the_same_on_any_partitioning(spark, as_rows):
+    from weftgraph import Graph
+
+    rows = [(str(k % 7), str(k % 5), float(k % 3)) for k in range(200)]
+    e = spark.createDataFrame(rows, "source string, target string, weight double")
+    one, two = (Graph.from_tables(None, df).edges for df in (e.repartition(1), e.repartition(7)))
+    assert as_rows(one, "eid", "src", "dst", "weight") == as_rows(two, "eid", "src", "dst", "weight") and one.select("eid").distinct().count() == 200

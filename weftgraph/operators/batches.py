@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.vectors import zeros
 from weftgraph.graph import Graph, GraphError
+from weftgraph.operators import linalg
 from weftgraph.operators.linalg import gcn_matrix
 from weftgraph.operators.adjacency import adjacency_matrix
 from weftgraph.operators.sampling import batches, directed_bfs, hin_bfs, numbered, sampled_bfs
+from weftgraph.plans.staging import stored
 
 
 def hop_features(samples: DataFrame, graph: Graph, size: int, by: Sequence[str]) -> DataFrame:
@@ -67,6 +69,45 @@ def node_batches(graph: Graph, heads: DataFrame, size: int, *, head_type: str |
     return batches(heads.select("id"), size, shuffle_seed=epoch)
 
 
+def directed_graphsage_links(graph: Graph, pairs: DataFrame, in_sizes: Sequence[int], out_sizes: Sequence[int], size: int, *, seed: int = 42) -> DataFrame:
+    """(src, dst, label, side, part, features): the ends sampled apart, along and against direction."""
+    out = None
+    for side, offset in (("src", 0), ("dst", 1)):
+        part = directed_graphsage_nodes(graph, pairs.select(F.col(side).alias("id")).distinct(), in_sizes, out_sizes, size, seed=2 * seed + offset)
+        rows = pairs.join(part, pairs[side] == part["root"]).select("src", "dst", "label", F.lit(side).alias("side"), "part", "features")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def attri2vec_nodes(graph: Graph, heads: DataFrame) -> DataFrame:
+    """(id, features): the heads' own features."""
+    return graph.nodes.join(heads.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi").select("id", "features")
+
+
+def node2vec_nodes(graph: Graph, heads: DataFrame) -> DataFrame:
+    """(id, n): the heads' dense numbers among all nodes."""
+    ids = heads.select(F.col("id").cast("string").alias("id")).distinct()
+    return numbered(graph.nodes.select("id"), "id").join(ids, "id", "left_semi").select("id", "n")
+
+
+def attri2vec_links(graph: Graph, pairs: DataFrame) -> DataFrame:
+    """(src, dst, label, features, n): the source's features and the target's dense number."""
+    ends = pairs.join(graph.nodes.select(F.col("id").alias("src"), "features"), "src")
+    return ends.join(numbered(graph.nodes.select("id"), "id").withColumnRenamed("id", "dst"), "dst").select("src", "dst", "label", "features", "n")
+
+
+def node2vec_links(graph: Graph, pairs: DataFrame) -> DataFrame:
+    """(src, dst, label, src_n, dst_n): the ends' dense numbers."""
+    n = stored(numbered(graph.nodes.select("id"), "id").select("id", "n"), "numbers")
+    rows = pairs.join(n.select(F.col("id").alias("src"), F.col("n").alias("src_n")), "src").join(n.select(F.col("id").alias("dst"), F.col("n").alias("dst_n")), "dst")
+    return rows.select("src", "dst", "label", "src_n", "dst_n")
+
+
+def cluster_targets(batches_of: DataFrame, targets: DataFrame) -> DataFrame:
+    """(batch, id) of the batches' nodes that are targets; batches(id, batch)."""
+    return batches_of.select("batch", "id").join(targets.select("id").distinct(), "id", "left_semi").select("batch", "id")
+
+
 def hin_layout(triples: Sequence[tuple[str, str, str]], head_types: Sequence[str], hops: int) -> list[tuple[int, str, str]]:
     """(hop, path, node type) of every tensor that heterogeneous sampling gives, heads first."""
     rows = [(0, "", t) for t in head_types]
@@ -98,6 +139,26 @@ def padded_graphs(nodes: DataFrame, *, per_batch: int, size: int) -> DataFrame:
     return rows.select("batch", "graph_id", F.concat("f", pad).alias("features"), mask.alias("mask"))
 
 
+def padded_adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, row, col, v): the normalised adjacency, with self loops, that goes with
+    padded_graphs; rows and columns count from 0 in the order of ids, and padding has no entries.
+    nodes(graph_id, id), edges(graph_id, src, dst)."""
+    place = nodes.select("graph_id", "id", (F.row_number().over(W.partitionBy("graph_id").orderBy("id")) - 1).alias("at"))
+    place = stored(place.withColumn("key", F.concat_ws("/", F.col("graph_id").cast("string"), F.col("id").cast("string"))), "places")
+    ends = edges.select(*(F.concat_ws("/", F.col("graph_id").cast("string"), F.col(c).cast("string")).alias(c) for c in ("src", "dst")))
+    both = ends.select(F.col("src").alias("i"), F.col("dst").alias("j")).unionByName(ends.where("src <> dst").select(F.col("dst").alias("i"), F.col("src").alias("j")))
+    adj = both.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("v"))
+    matrix = linalg.normalized(linalg.with_self_loops(adj, place.select(F.col("key").alias("id"))))
+    rows = matrix.join(place.select(F.col("key").alias("i"), "graph_id", F.col("at").alias("row")), "i").join(place.select(F.col("key").alias("j"), F.col("at").alias("col")), "j")
+    return rows.select("graph_id", "row", "col", "v")
+
+
+def graph_pairs(padded: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(left, right, …) of graphs with the padded features and masks of either."""
+    sides = [padded.select(F.col("graph_id").alias(s), F.col("features").alias(f"{s}_features"), F.col("mask").alias(f"{s}_mask")) for s in ("left", "right")]
+    return pairs.join(sides[0], "left").join(sides[1], "right")
+
+
 def sort_pooling(features: DataFrame, k: int, size: int) -> DataFrame:
     """(graph_id, features): the k rows greatest in their last channel (ties by id), zero padded and flattened."""
     last = F.element_at("features", -1)
@@ -111,8 +172,6 @@ def full_batch(graph: Graph, method: str | Callable[[DataFrame, DataFrame], Data
     """(features(id, features), matrix(i, j, v)) for full-batch models: method 'gcn', 'sgc' (its
     power k), 'ppnp' (personalised page rank with ``teleport``; n² entries), 'gat' (self loops),
     'none', or a function of (matrix(i, j, v), nodes)."""
-    from weftgraph.operators import linalg
-
     adj = adjacency_matrix(graph, weighted=weighted)
     if callable(method):
         adj = method(adj, graph.nodes)

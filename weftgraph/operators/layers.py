@@ -6,15 +6,16 @@ literals, as they have the size of the model, not of the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions import vectors as V
 from weftgraph.graph import Graph, GraphError
 from weftgraph.operators import linalg
+from weftgraph.plans.staging import stored
 
 Matrix = Sequence[Sequence[float]]
 
@@ -67,15 +68,16 @@ def gat_layer(adj: DataFrame, features: DataFrame, heads: Sequence[tuple[Matrix,
 
 
 def sage_layer(
-    adj: DataFrame, features: DataFrame, own: Matrix, nbr: Matrix, *, aggregator: str = "mean", pool: Matrix | None = None, activation: str = "relu", normalize: bool = False,
+    adj: DataFrame, features: DataFrame, own: Matrix, nbr: Matrix, *, aggregator: str | Callable[[Column], Column] = "mean", pool: Matrix | None = None, activation: str = "relu", normalize: bool = False,
 ) -> DataFrame:
     """GraphSAGE: concat(x W_own, agg(neighbours) W_nbr).  Aggregators: 'mean', and 'meanpool' and
-    'maxpool' after a dense layer ``pool``.  A node without neighbours aggregates zeros."""
+    'maxpool' after a dense layer ``pool``, or a function from a component's column to its
+    aggregate.  A node without neighbours aggregates zeros."""
     size = len(own)
     x = features.select(F.col("id").alias("j"), (V.dense("features", pool, activation="relu") if pool is not None else F.col("features")).alias("f"))
     width = len(pool[0]) if pool is not None else size
-    agg = F.max if aggregator == "maxpool" else F.avg
-    if aggregator not in ("mean", "meanpool", "maxpool"):
+    agg = aggregator if callable(aggregator) else F.max if aggregator == "maxpool" else F.avg
+    if not callable(aggregator) and aggregator not in ("mean", "meanpool", "maxpool"):
         raise GraphError(f"expected 'mean', 'meanpool' or 'maxpool', found {aggregator!r}")
     near = adj.select("i", "j").join(x, "j").groupBy(F.col("i").alias("id")).agg(F.array(*(agg(F.col("f")[k]) for k in range(width))).alias("n"))
     rows = features.join(near, "id", "left").withColumn("n", F.coalesce("n", V.zeros(width)))
@@ -172,9 +174,23 @@ def attention_over_powers(powers: DataFrame, logits: Sequence[float]) -> DataFra
     return powers.groupBy("i", "j").agg(F.sum(F.col("v") * share).alias("v"))
 
 
-def mean_pool(features: DataFrame, graphs: DataFrame, size: int) -> DataFrame:
-    """(graph_id, features): the mean row of each graph; graphs(id, graph_id)."""
-    return features.join(graphs, "id").groupBy("graph_id").agg(F.array(*(F.avg(F.col("features")[k]) for k in range(size))).alias("features"))
+def mean_pool(features: DataFrame, graphs: DataFrame, size: int, pool: Callable[[Column], Column] = F.avg) -> DataFrame:
+    """(graph_id, features): the mean row of each graph, or another aggregate of each component;
+    graphs(id, graph_id)."""
+    return features.join(graphs, "id").groupBy("graph_id").agg(F.array(*(pool(F.col("features")[k]) for k in range(size))).alias("features"))
+
+
+def deep_graph_cnn(matrix: DataFrame, features: DataFrame, graphs: DataFrame, layers: Sequence[tuple[Matrix, Sequence[float] | None, str]], k: int) -> DataFrame:
+    """(graph_id, features): the outputs of all convolutions side by side, sort-pooled to k rows;
+    graphs(id, graph_id)."""
+    from weftgraph.operators.batches import sort_pooling
+
+    now, out, width = features.select("id", "features"), None, 0
+    for weights, bias, activation in layers:
+        now = stored(gcn_layer(matrix, now, weights, bias, activation), "layer")
+        out = now if out is None else out.join(now.select("id", F.col("features").alias("more")), "id").select("id", F.concat("features", "more").alias("features"))
+        width += len(weights[0])
+    return sort_pooling(out.join(graphs, "id").select("graph_id", "id", "features"), k, width)
 
 
 def integrated_gradients(matrix: DataFrame, features: DataFrame, target: str, weights: Matrix, klass: int, k: int, size: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.vectors import leaky_clipped
+from weftgraph.functions.vectors import dense, leaky_clipped
 from weftgraph.graph import GraphError
 from weftgraph.operators import linalg
 from weftgraph.operators.links import embedded_pairs
@@ -110,3 +110,31 @@ def label_propagation(half: DataFrame, nodes: DataFrame, *, rounds: int = 5) ->
     return label
 
 
+def fit_attri2vec(pairs: DataFrame, features: DataFrame, *, size: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 42, most_pairs: int = 20_000_000) -> np.ndarray:
+    """The matrix W of attribute embeddings sigmoid(x W): trained on the driver so that the source's
+    embedding tells context targets from others; pairs(src, dst, label), features(id, features).
+    More than ``most_pairs`` pairs raise."""
+    if pairs.limit(most_pairs + 1).count() > most_pairs:
+        raise GraphError(f"expected at most {most_pairs} pairs to learn from on the driver")
+    rows = pairs.select("src", "dst", "label").orderBy(F.md5(F.concat_ws("|", "src", "dst", "label")), "src", "dst", "label").toArrow()
+    src, dst = (rows.column(c).combine_chunks().dictionary_encode() for c in ("src", "dst"))
+    vectors = {r.id: r.features for r in features.join(pairs.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("id", "features").toLocalIterator()}
+    if not len(rows) or not vectors:
+        raise GraphError("expected pairs whose sources have features")
+    x = np.array([vectors[k] for k in src.dictionary.to_pylist()], float)
+    s, o, y = src.indices.to_numpy(), dst.indices.to_numpy(), np.array(rows.column("label").to_pylist(), float)
+    rng = np.random.default_rng(seed)
+    w, out = rng.normal(0, 0.3, (x.shape[1], size)), rng.normal(0, 0.3, (len(dst.dictionary), size))
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // 1024)):
+            h = 1 / (1 + np.exp(-x[s[part]] @ w))
+            c = out[o[part]]
+            d = (1 / (1 + np.exp(-(h * c).sum(1))) - y[part])[:, None] / len(part)
+            w -= rate * x[s[part]].T @ (d * c * h * (1 - h))
+            np.add.at(out, o[part], -rate * d * h)
+    return w
+
+
+def attri2vec_embeddings(features: DataFrame, w: np.ndarray) -> DataFrame:
+    """(id, features): sigmoid(x W) of each row."""
+    return features.select("id", dense("features", w.tolist(), activation="sigmoid").alias("features"))

@@ -85,8 +85,9 @@ def local_negatives(
     graph: Graph, n: int, *, seed: int = 42, probs: Sequence[float] = (0.0, 0.25, 0.5, 0.25), master: Graph | None = None,
     sources: DataFrame | None = None, targets: DataFrame | None = None,
 ) -> DataFrame:
-    """n pairs that no edge joins, the target at the end of a walk from the source whose number
-    of steps is drawn from probs (index + 1); ends among ``sources`` and ``targets`` if given."""
+    """n pairs that no edge joins, the target at the end of a walk from the source, which visits no
+    node twice and whose number of steps is drawn from probs (index + 1); ends among ``sources``
+    and ``targets`` if given."""
     if abs(sum(probs) - 1) > 1e-9 or any(x < 0 for x in probs):
         raise GraphError("expected probs to be at least 0 and to add up to 1")
     found = None
@@ -96,7 +97,9 @@ def local_negatives(
         depth = F.lit(len(probs))
         for k in range(len(probs) - 1, -1, -1):
             depth = F.when(u < sum(probs[: k + 1]), F.lit(k + 1)).otherwise(depth)
-        met = walks.withColumn("depth", depth).where("step = depth").select(F.col("root").alias("src"), F.col("node").alias("dst"))
+        # of the nodes up to the depth, as many are different
+        far = walks.withColumn("depth", depth).where("step <= depth").groupBy("root", "walk", "depth").agg(F.count_distinct("node").alias("nodes"), F.max_by("node", "step").alias("dst"))
+        met = far.where("nodes = depth + 1").select(F.col("root").alias("src"), "dst")
         if targets is not None:
             met = met.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
         found = met if found is None else found.unionByName(met)

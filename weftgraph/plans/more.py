@@ -322,7 +322,8 @@ ends AS (SELECT CAST(floor({draw_sql(42, "'s'", "0", "id")} * (SELECT count(*) F
 met AS (SELECT ls.id AS src, rs.id AS dst FROM ends JOIN ls ON ls.n = ns JOIN rs ON rs.n = nt), {FRESH}"""
 DEPTH = draw_sql(42, "'depth'", "root", "walk")
 SQL["edge_split_negatives_local"] = f"""WITH RECURSIVE w AS ({walk_sql(5, OP_ADJ)}), {op_sql()}, want AS (SELECT CAST(floor(0.01 * count(*)) AS BIGINT) AS n FROM edges),
-met AS (SELECT root AS src, node AS dst FROM w WHERE step = CASE WHEN {DEPTH} < 0.0 THEN 1 WHEN {DEPTH} < 0.25 THEN 2 WHEN {DEPTH} < 0.75 THEN 3 ELSE 4 END), {FRESH}"""
+dp AS (SELECT *, CASE WHEN {DEPTH} < 0.0 THEN 1 WHEN {DEPTH} < 0.25 THEN 2 WHEN {DEPTH} < 0.75 THEN 3 ELSE 4 END AS depth FROM w),
+met AS (SELECT root AS src, arg_max(node, step) AS dst FROM dp WHERE step <= depth GROUP BY root, walk, depth HAVING count(DISTINCT node) = depth + 1), {FRESH}"""
 
 
 @register("train_test_split", f"""{OP}, {NUMBERED_ENDS}, good AS (SELECT eid, src, dst FROM edges ORDER BY md5('42|' || eid), eid LIMIT (SELECT n FROM want)),
@@ -616,3 +617,121 @@ h AS (SELECT f, md5('42|' || id) AS h FROM e), b AS (SELECT f, row_number() OVER
 SELECT id, md5(array_to_string(list_transform(f, lambda y: CAST(round(y * 10000) AS BIGINT)), ',')) AS digest FROM a JOIN b USING (n)""")
 def _(spark, d):
     return B.corrupted(features(spark, d, "v")).select("id", _digest("features").alias("digest"))
+
+
+# -- further batches, layers and files ----------------------------------------------
+
+DENSE = "dn AS (SELECT id, row_number() OVER (ORDER BY ('0x' || substr(md5(id), 1, 3))::INT % 1024, id) - 1 AS n FROM nodes)"
+
+
+def _pairs(g: Graph) -> DataFrame:
+    return g.edges.select("src", "dst").distinct().withColumn("label", F.lit(1))
+
+
+@register("node2vec_link_batches", f"{OP}, {DENSE} SELECT DISTINCT src, dst, x.n AS src_n, y.n AS dst_n FROM edges JOIN dn x ON x.id = src JOIN dn y ON y.id = dst")
+def _(spark, d):
+    g = op_graph(spark, d)
+    return B.node2vec_links(g, _pairs(g)).drop("label")
+
+
+@register("attri2vec_link_batches", f"{OP}, {DENSE} SELECT DISTINCT dst AS src, src AS dst, y.n, coalesce(round(embedding[1]::DOUBLE, 6), 0.0) AS f FROM edges JOIN dn y ON y.id = src LEFT JOIN embeddings ON 'p' || vec_id = dst")
+def _(spark, d):
+    g = featured(spark, d)
+    turned = _pairs(g).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label")
+    return B.attri2vec_links(g, turned).select("src", "dst", "n", F.round(F.col("features")[0], 6).alias("f"))
+
+
+@register("node2vec_node_batches", f"{OP}, {DENSE} SELECT id, n FROM dn WHERE id LIKE 'p%'")
+def _(spark, d):
+    g = op_graph(spark, d)
+    return B.node2vec_nodes(g, g.node_ids("part"))
+
+
+@register("attri2vec_node_batches", "SELECT 'p' || p_partkey AS id, coalesce(round(embedding[1]::DOUBLE, 6), 0.0) AS f FROM part LEFT JOIN embeddings ON vec_id = p_partkey")
+def _(spark, d):
+    g = featured(spark, d)
+    return B.attri2vec_nodes(g, g.node_ids("part")).select("id", F.round(F.col("features")[0], 6).alias("f"))
+
+
+def _directed_ends(side: str, seed: int) -> str:
+    samples = directed_bfs_sql(seed).replace("FROM nodes WHERE type = 'order'", "FROM nodes")
+    return f"SELECT e.src, e.dst, '{side}' AS side, part, slot, coalesce(round(embedding[1]::DOUBLE, 6), 0.0) AS f FROM (SELECT DISTINCT src, dst FROM edges) e JOIN ({samples}) s ON root = e.{side} LEFT JOIN embeddings ON 'p' || vec_id = node"
+
+
+@register("directed_link_batches", f"WITH {op_sql()} {_directed_ends('src', 84)} UNION ALL {_directed_ends('dst', 85)}")
+def _(spark, d):
+    g = replace(featured(spark, d), directed=True)
+    return _slots(B.directed_graphsage_links(g, _pairs(g), [2, 2], [2, 2], 4), "src", "dst", "side", "part")
+
+
+CHAINS = """c AS (SELECT label AS g, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS at, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nxt FROM embeddings),
+b AS (SELECT g, id AS i, nxt AS j FROM c WHERE nxt IS NOT NULL UNION ALL SELECT g, nxt, id FROM c WHERE nxt IS NOT NULL UNION ALL SELECT g, id, id FROM c), dg AS (SELECT g, i, count(*) AS d FROM b GROUP BY ALL),
+m AS (SELECT b.g, b.i, b.j, 1 / sqrt(x.d * y.d) AS v FROM b JOIN dg x ON x.g = b.g AND x.i = b.i JOIN dg y ON y.g = b.g AND y.i = b.j)"""
+
+
+def _chains(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Vectors of one label as a graph, each joined to the next."""
+    e = table(spark, d, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("id"))
+    after = F.lead("id").over(W.partitionBy("graph_id").orderBy("id"))
+    return e, e.select("graph_id", F.col("id").alias("src"), after.alias("dst")).where("dst is not null")
+
+
+@register("padded_graph_adjacency", f"WITH {CHAINS} SELECT m.g AS graph_id, x.at AS row, y.at AS col, round(v, 6) AS v FROM m JOIN c x ON x.id = i JOIN c y ON y.id = j")
+def _(spark, d):
+    found = B.padded_adjacency(*_chains(spark, d))
+    return found.select("graph_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round("v", 6).alias("v"))
+
+
+@register("padded_graph_pairs", """WITH n AS (SELECT label, count(*) AS n, (row_number() OVER (ORDER BY label) - 1) // 4 AS b FROM embeddings GROUP BY label), m AS (SELECT label, n, max(n) OVER (PARTITION BY b) AS most FROM n)
+SELECT x.label AS left, y.label AS right, x.n AS left_n, y.n AS right_n, x.most AS left_rows, y.most AS right_rows FROM m x JOIN m y ON y.label = x.label + 1""")
+def _(spark, d):
+    x = table(spark, d, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("features"))
+    padded = B.padded_graphs(x, per_batch=4, size=2)
+    pairs = padded.select(F.col("graph_id").alias("left"), (F.col("graph_id") + 1).alias("right"))
+    real = lambda c: F.size(F.filter(c, lambda m: m)).cast("long")
+    return B.graph_pairs(padded, pairs).select("left", "right", *(f.alias(n) for s in ("left", "right") for n, f in ((f"{s}_n", real(f"{s}_mask")), (f"{s}_rows", F.size(f"{s}_features").cast("long")))))
+
+
+@register("deep_graph_cnn", f"""WITH {CHAINS}, x AS (SELECT vec_id AS id, k, embedding[k]::DOUBLE AS f FROM embeddings, range(1, 5) t(k)), w(k, o, w) AS (VALUES {', '.join(f'({i + 1}, {o + 1}, {W42[i][o]}::DOUBLE)' for i in range(4) for o in range(2))}),
+h AS (SELECT id, o, sum(f * w) AS f FROM x JOIN w USING (k) GROUP BY ALL), a AS (SELECT i AS id, o, tanh(sum(v * f)) AS f FROM m JOIN h ON h.id = j GROUP BY ALL),
+z AS (SELECT i AS id, tanh(sum(v * f * CASE o WHEN 1 THEN {OWN[0]} ELSE {OWN[1]} END)) AS f FROM m JOIN a ON a.id = j GROUP BY i),
+r AS (SELECT c.g, c.id, z.f AS last, row_number() OVER (PARTITION BY c.g ORDER BY round(z.f, 9) DESC, c.id) - 1 AS r FROM c JOIN z ON z.id = c.id)
+SELECT g AS graph_id, r.r * 3 + o - 1 AS k, round(a.f, 5) AS f FROM r JOIN a USING (id) WHERE r < 3 UNION ALL SELECT g, r * 3 + 2, round(last, 5) FROM r WHERE r < 3""")
+def _(spark, d):
+    nodes, edges = _chains(spark, d)
+    ends = edges.select(F.col("src").cast("string").alias("i"), F.col("dst").cast("string").alias("j"))
+    both = ends.unionByName(ends.select(F.col("j").alias("i"), F.col("i").alias("j"))).withColumn("v", F.lit(1.0))
+    x = features(spark, d, "", 4)
+    matrix = linalg.normalized(linalg.with_self_loops(both, x))
+    graphs = nodes.select(F.col("id").cast("string").alias("id"), "graph_id")
+    found = layers.deep_graph_cnn(matrix, x, graphs, [(W42, None, "tanh"), ([[OWN[0]], [OWN[1]]], None, "tanh")], 3)
+    return found.select("graph_id", F.posexplode("features").alias("k", "f")).select("graph_id", F.col("k").cast("long").alias("k"), F.round("f", 5).alias("f"))
+
+
+@register("cluster_targets", f"{OP} SELECT ('0x' || substr(md5(id), 1, 4))::INT % 20 // 2 AS batch, id FROM nodes WHERE type = 'part'")
+def _(spark, d):
+    g = op_graph(spark, d)
+    of = (F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 20 / 2).cast("int")
+    return B.cluster_targets(g.nodes.select("id", of.alias("batch")), g.node_ids("part"))
+
+
+@register("graphml_lines", """SELECT '<node id="n' || n_nationkey || '"><data key="type">nation</data></node>' AS line FROM nation UNION ALL SELECT '<node id="r' || r_regionkey || '"><data key="type">region</data></node>' FROM region
+UNION ALL SELECT '<edge id="nr' || n_nationkey || '" source="n' || n_nationkey || '" target="r' || n_regionkey || '"><data key="type">in_region</data><data key="weight">1.0</data></edge>' FROM nation""")
+def _(spark, d):
+    path = folder(spark, "graphml")
+    epgm.write_graphml(_nations(spark, d), path)
+    return spark.read.text(path).where("value like '<node%' or value like '<edge%'").select(F.col("value").alias("line"))
+
+
+@register("sage_custom_aggregator", f"""{ADJ0}, {X4}, mn AS (SELECT i AS id, k, min(f) AS f FROM a JOIN x0 ON id = j GROUP BY ALL)
+SELECT id, k, round(f, 6) + 0.0 AS f FROM x0 UNION ALL SELECT x0.id, x0.k + 4, round(coalesce(mn.f, 0), 6) + 0.0 FROM x0 LEFT JOIN mn ON mn.id = x0.id AND mn.k = x0.k""")
+def _(spark, d):
+    g = featured(spark, d)
+    return long_form(layers.sage_layer(A.adjacency_matrix(g), g.nodes, EYE4, EYE4, aggregator=F.min, activation="linear"))
+
+
+@register("max_pooling", "SELECT label AS graph_id, k, round(max(embedding[k]::DOUBLE), 6) AS f FROM embeddings, range(1, 65) t(k) GROUP BY ALL")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    pooled = layers.mean_pool(features(spark, d, ""), e.select(F.col("vec_id").cast("string").alias("id"), F.col("label").alias("graph_id")), 64, F.max)
+    return pooled.select("graph_id", F.posexplode("features").alias("k", "f")).select("graph_id", (F.col("k") + 1).cast("long").alias("k"), F.round("f", 6).alias("f"))

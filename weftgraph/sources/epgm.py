@@ -50,6 +50,10 @@ class Epgm:
         v = self.members(graph_id)[0].where(F.col("meta.label").contains(label))
         return v.select(F.explode(F.map_keys("data")).alias("attribute")).distinct()
 
+    def node_attribute_count(self, graph_id: str, label: str) -> int:
+        """How many attributes the vertices whose label contains the text have."""
+        return self.node_attributes(graph_id, label).count()
+
     def edge_list(self, graph_id: str) -> DataFrame:
         return self.members(graph_id)[1].select("id", "source", "target", F.col("meta.label").alias("type"))
 
@@ -77,3 +81,19 @@ class Epgm:
         nodes = v.select("id", F.col("meta.label").alias("type"), values.alias("features"))
         edges = e.select(F.col("id").alias("eid"), F.col("source").alias("src"), F.col("target").alias("dst"), F.col("meta.label").alias("type"), F.coalesce(F.col("data")["weight"].cast("double"), F.lit(1.0)).alias("weight"), F.array().cast("array<double>").alias("features"))
         return Graph(nodes, edges, directed)
+
+
+def write_graphml(graph: Graph, folder: str) -> None:
+    """The graph as GraphML text in one part file: header, nodes with their type, edges with type and
+    weight.  For graphs that one task can write."""
+    safe = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c), "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
+    head = (
+        '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="type" for="all" attr.name="type" attr.type="string"/>\n'
+        f'<key id="weight" for="edge" attr.name="weight" attr.type="double"/>\n<graph edgedefault="{"directed" if graph.directed else "undirected"}">'
+    )
+    node = F.format_string('<node id="%s"><data key="type">%s</data></node>', safe("id"), safe("type"))
+    edge = F.format_string('<edge id="%s" source="%s" target="%s"><data key="type">%s</data><data key="weight">%s</data></edge>', safe("eid"), safe("src"), safe("dst"), safe("type"), F.col("weight").cast("string"))
+    lines = graph.spark.range(1).select(F.lit(0).alias("k"), F.lit(head).alias("value"))
+    lines = lines.unionByName(graph.nodes.select(F.lit(1).alias("k"), node.alias("value"))).unionByName(graph.edges.select(F.lit(2).alias("k"), edge.alias("value")))
+    lines = lines.unionByName(graph.spark.range(1).select(F.lit(3).alias("k"), F.lit("</graph>\n</graphml>").alias("value")))
+    lines.orderBy("k", "value").coalesce(1).select("value").write.text(folder)

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph, infer_nodes
+from weftgraph.operators import components, query
+from weftgraph.plans.staging import stored
 
 
-def citation_graph(spark: SparkSession, content: str, cites: str, *, weight: Column | None = None) -> tuple[Graph, DataFrame]:
+def citation_graph(spark: SparkSession, content: str, cites: str, *, weight: Column | None = None, largest_component: bool = False) -> tuple[Graph, DataFrame]:
     """Tab-separated content (id, 0/1 words…, subject) and citations (cited, citing): the graph
     without dangling edges, and (id, subject).  ``weight`` is an expression over the ends'
-    features a and b."""
+    features a and b; ``largest_component`` leaves the other components out."""
     wide = spark.read.csv(content, sep="\t")
     first, last = wide.columns[0], wide.columns[-1]
     words = F.array(*(F.col(c).cast("double") for c in wide.columns[1:-1]))
@@ -28,7 +30,11 @@ def citation_graph(spark: SparkSession, content: str, cites: str, *, weight: Col
         F.concat_ws(">", "source", "target").alias("eid"), F.col("source").alias("src"), F.col("target").alias("dst"), F.lit("cites").alias("type"),
         w.cast("double").alias("weight"), F.array().cast("array<double>").alias("features"),
     )
-    return Graph(nodes, made), wide.select(F.col(first).alias("id"), F.col(last).alias("subject"))
+    graph, subjects = Graph(nodes, made), wide.select(F.col(first).alias("id"), F.col(last).alias("subject"))
+    if not largest_component:
+        return graph, subjects
+    kept = stored(components.largest_component(components.connected_components(graph)).select("id"), "largest")
+    return query.induced_subgraph(graph, kept, strict=False), subjects.join(kept, "id", "left_semi")
 
 
 def sparse_nodes(spark: SparkSession, path: str, keys: list[str], *, skip_lines: int = 2, label: str = "label") -> DataFrame:

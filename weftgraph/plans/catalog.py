@@ -1,9 +1,9 @@
 """The graph queries of the driver's contract and their SQL.
 
-Every query runs over its whole tables, but for those whose SQL holds a part of
-them: ``connected_components`` (line items of quantity 50), ``adjacency_power_2``
+Every query runs over its whole tables, but for some that came first with SQL over a
+part: ``connected_components`` (line items of quantity 50), ``adjacency_power_2``
 (45 or more), and the layers and propagations over the first four features.  Their
-``_whole`` namesakes run over all, without SQL.  Floats are rounded to six places
+``_whole`` and ``_digest`` namesakes run over all (``more`` has SQL for them).  Floats are rounded to six places
 in both engines; arrays come out as text or sums, so that values can be hashed.
 """
 

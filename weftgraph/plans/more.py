@@ -19,9 +19,9 @@ from weftgraph.functions.rng import draw_sql
 from weftgraph.graph import Graph
 from weftgraph.operators import adjacency as A
 from weftgraph.operators import batches as B
-from weftgraph.operators import calibration, components, layers, learn, linalg, links, query, sampling, splitter, walks
+from weftgraph.operators import calibration, components, layers, linalg, links, query, sampling, splitter, walks
 from weftgraph.plans.catalog import (
-    ADJ0, B2, GCN, HALF_SQL, HET, KG, OP, OP_ADJ, PAIRS, REL, SQL, W42, X4, bfs_sql, directed_bfs_sql, featured, hin_sql, kg_tables, long_form, metapath_sql, register, walk_sql,
+    ADJ0, B2, GCN, HALF_SQL, HET, KG, OP, OP_ADJ, PAIRS, SQL, W42, W642, X4, bfs_sql, directed_bfs_sql, featured, hin_sql, kg_tables, long_form, metapath_sql, register, walk_sql,
 )
 from weftgraph.plans.staging import shared_dir
 from weftgraph.plans.tables import adj_sql, features, het_graph, key, op_graph, op_sql, table
@@ -735,3 +735,63 @@ def _(spark, d):
     e = table(spark, d, "embeddings")
     pooled = layers.mean_pool(features(spark, d, ""), e.select(F.col("vec_id").cast("string").alias("id"), F.col("label").alias("graph_id")), 64, F.max)
     return pooled.select("graph_id", F.posexplode("features").alias("k", "f")).select("graph_id", (F.col("k") + 1).cast("long").alias("k"), F.round("f", 6).alias("f"))
+
+
+# -- whole graphs and whole vectors ---------------------------------------------------
+
+X64 = X4.replace("range(1, 5)", "range(1, 65)")
+W64_SQL = f"w(k, o, w) AS (VALUES {', '.join(f'({i + 1}, {o + 1}, {W642[i][o]}::DOUBLE)' for i in range(64) for o in range(2))})"
+W4_SQL = f"w(k, o, w) AS (VALUES {', '.join(f'({i + 1}, {o + 1}, {W42[i][o]}::DOUBLE)' for i in range(4) for o in range(2))})"
+
+
+def _all_components(name: str) -> str:
+    """The named query's SQL over all 64 features, a digest a node."""
+    sql = SQL[name].replace(X4, X64).replace(W4_SQL, W64_SQL).replace("x0.k + 4", "x0.k + 64")
+    return f"SELECT id, md5(string_agg(CAST(CAST(round(f * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY k)) AS digest FROM ({sql}) GROUP BY id"
+
+
+def _rounded_digest(df: DataFrame) -> DataFrame:
+    return df.select("id", _digest(F.transform("features", lambda v: F.round(v, 6))).alias("digest"))
+
+
+@register("sgc_features_digest", _all_components("sgc_features_k2"))
+def _(spark, d):
+    g = featured(spark, d, 64)
+    return _rounded_digest(linalg.propagate_k(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, 64, 2))
+
+
+@register("appnp_digest", _all_components("appnp_k3"))
+def _(spark, d):
+    g = featured(spark, d, 64)
+    return _rounded_digest(linalg.appnp(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, 64, k=3, alpha=0.125))
+
+
+@register("gcn_layer_digest", _all_components("gcn_layer_forward"))
+def _(spark, d):
+    g = featured(spark, d, 64)
+    return _rounded_digest(layers.gcn_layer(linalg.gcn_matrix(A.adjacency_matrix(g), g.nodes), g.nodes, W642, B2))
+
+
+@register("sage_mean_digest", _all_components("sage_mean_layer"))
+def _(spark, d):
+    g = featured(spark, d, 64)
+    eye = [[1.0 if i == j else 0.0 for j in range(64)] for i in range(64)]
+    return _rounded_digest(layers.sage_layer(A.adjacency_matrix(g), g.nodes, eye, eye, activation="linear"))
+
+
+@register("rgcn_layer_digest", _all_components("rgcn_layer_forward"))
+def _(spark, d):
+    g = featured(spark, d, 64)
+    return _rounded_digest(layers.rgcn_layer(g.edges, g.nodes, W642, {"contains": W642}, activation="linear"))
+
+
+def _least_labels(rounds: int) -> str:
+    """Components by rounds of least labels; exact where as many rounds settle them."""
+    ctes = ["l0 AS (SELECT id, id AS c FROM nodes)"]
+    for k in range(1, rounds + 1):
+        ctes.append(f"l{k} AS MATERIALIZED (SELECT l.id, least(l.c, coalesce(m, l.c)) AS c FROM l{k - 1} l LEFT JOIN (SELECT node, min(c) AS m FROM half JOIN l{k - 1} ON id = nbr GROUP BY node) ON node = l.id)")
+    return f"{OP},\n{HALF_SQL}, {', '.join(ctes)} SELECT id, c AS component, count(*) OVER (PARTITION BY c) AS size FROM l{rounds}"
+
+
+SQL["connected_components_whole"] = _least_labels(20)
+SQL["adjacency_power_2_whole"] = SQL["adjacency_power_2"].replace(op_sql(45), op_sql())

@@ -5,10 +5,15 @@ tokens.  Its states are the tokens last read; at first every base symbol may
 follow every other.  The gadget of a merge (a, b) -> ab adds the state ab,
 which leaves as b does, lets ab be read wherever a may be, and takes the arc b
 from state a.  Once all gadgets are in, the one path that spells a word is its
-encoding.  Arcs aren't listed (there would be billions): ``Automaton.arc``
-asks the gadgets that made the two tokens, latest first, whether the arc is
-there.  A trie table yields the tokens that end at each byte; words of a batch
-advance side by side.  Decoding emits the labels of the arcs taken.
+encoding.  Listed whole the arcs would be billions, so each is asked of the
+gadgets that made its two tokens, latest first, when it is first met.
+
+Words are read byte by byte through a transition table: a state of the table is
+the set of arcs being spelt (the token before, and the place in the token's
+letters; tokens before that allow the same arcs from a place on are one), a
+transition names the next state, and a state the token that ends there, if any.
+The table is filled as transitions are met and bounded; a word costs one
+look-up a byte, whatever its length.  Decoding emits the labels of the arcs taken.
 """
 
 from __future__ import annotations
@@ -16,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +31,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from weftgraph.llm.common import arrow_limits, table, widened
+from weftgraph.llm.common import arrow_limits, table, widened, worker_state
 
 END = "</w>"
-CACHE_WORDS = 300_000
-PIECE_CHARS = 4_000_000
-#: Words up to this many bytes run side by side; longer ones in a group of their own.
-SHORT = 48
+#: Words that are remembered, twice over, and their most characters.
+CACHE_WORDS = 80_000
+CACHE_CHARS = 200
+#: States of the transition table.
+STATES = 60_000
+#: Arcs from a place of the trie on that are compared to find states alike.
+ARCS = 48
+#: Texts are read in stretches of so many characters, each up to its next blank.
+STRETCH = 500_000
+#: Bits of a token or of a place in the trie.
+BITS = 20
+LOW = (1 << BITS) - 1
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -43,112 +58,173 @@ def byte_symbols() -> list[str]:
     return [symbol[b] for b in range(256)]
 
 
+def compiled(spec: str) -> dict:
+    """The vocabulary file's JSON text as plain arrays: labels, gadgets, and the trie of the
+    tokens' bytes.  Only the driver parses the text; workers get the arrays."""
+    parsed = json.loads(spec)
+    vocab: dict[str, int] = parsed["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+    size = max([*vocab.values(), *special.values()]) + 1
+    labels = [""] * size
+    for text, k in [*vocab.items(), *special.items()]:
+        labels[k] = text
+    gadget = np.full((3, size), -1, np.int32)  # time, left and right part of each merged token
+    pair = np.zeros(len(parsed["model"]["merges"]), np.int64)
+    for k, (a, b) in enumerate(tuple(m) if isinstance(m, list) else m.split(" ", 1) for m in parsed["model"]["merges"]):
+        gadget[:, vocab[a + b]] = k, vocab[a], vocab[b]
+        pair[k] = vocab[a] << BITS | vocab[b]
+    byte_of = {c: b for b, c in enumerate(byte_symbols())}
+    child: dict[int, int] = {}
+    inner, last, length = [-1], [-1], np.zeros(size, np.int32)
+    for text, k in vocab.items():
+        ends = text.endswith(END) and len(text) > len(END)
+        letters = text[: -len(END)] if ends else text
+        node, length[k] = 0, len(letters)
+        for c in letters:
+            at = node << 8 | byte_of[c]
+            if at not in child:
+                child[at] = len(inner)
+                inner.append(-1)
+                last.append(-1)
+            node = child[at]
+        (last if ends else inner)[node] = k
+    if max(size, len(inner)) >= LOW:
+        raise ValueError(f"expected a vocabulary of fewer than {LOW} tokens and places")
+    # tokens in the order of their letters: those below a place of the trie are a stretch of it
+    spans = np.zeros((2, len(inner)), np.int32)
+    order = sorted(vocab.values(), key=lambda k: (labels[k].removesuffix(END) or labels[k]).translate({ord(c): b for c, b in byte_of.items()}))
+    for i, k in enumerate(order):
+        node = 0
+        text = labels[k]
+        for c in text[: -len(END)] if text.endswith(END) and len(text) > len(END) else text:
+            node = child[node << 8 | byte_of[c]]
+            if not spans[1, node]:
+                spans[0, node] = i
+            spans[1, node] = i + 1
+    trie = np.array([*child.keys()], np.int32), np.array([*child.values()], np.int32)
+    return {"labels": "\0".join(labels), "special": special, "gadget": gadget, "pair": pair, "trie": trie, "spans": spans, "order": np.array(order, np.int32), "inner": np.array(inner, np.int32), "last": np.array(last, np.int32), "length": length}
+
+
+class State(dict):
+    """A row of the transition table: by byte the next row; by byte plus 256, as the word's
+    last one, the token that ends the word.  ``arcs`` are those being spelt, as packed numbers:
+    the state they leave, and the place in their letters; ``ended`` is the token that ends
+    where the row is reached, plus 1 (0: none)."""
+
+    __slots__ = ("of", "arcs", "ended")
+
+    def __init__(self, of: Automaton, arcs: bytes, ended: int):
+        self.of, self.arcs, self.ended = of, arcs, ended
+
+    def __missing__(self, byte: int):
+        arcs = memoryview(self.arcs).cast("q")
+        value = self[byte] = self.of.last_token(arcs, byte - 256) if byte > 255 else self.of.move(arcs, byte)
+        return value
+
+
 class Automaton:
-    """Compiled from the vocabulary file's JSON text."""
-
-    def __init__(self, spec: str):
-        parsed = json.loads(spec)
-        vocab: dict[str, int] = parsed["model"]["vocab"]
-        self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        self.labels = [""] * size
-        for text, k in [*vocab.items(), *self.special.items()]:
-            self.labels[k] = text
-        self.rank = np.full(size, -1, np.int64)
-        self.left = np.full(size, -1, np.int64)
-        self.right = np.full(size, -1, np.int64)
-        pairs = []
-        for k, (a, b) in enumerate(tuple(m) if isinstance(m, list) else m.split(" ", 1) for m in parsed["model"]["merges"]):
-            self.gadget(k, vocab[a], vocab[b], vocab[a + b])
-            pairs.append((vocab[a] << 20 | vocab[b], k))
-        pairs.sort()
-        self.pair = np.array([p for p, _ in pairs], np.int64)
-        self.pair_rank = np.array([k for _, k in pairs], np.int64)
-        self.compile_trie(vocab)
-
-    def gadget(self, k: int, a: int, b: int, ab: int) -> None:
-        """Adds the state ab at time k: it may be read where a may be, and leaves as b does."""
-        self.rank[ab], self.left[ab], self.right[ab] = k, a, b
-
-    def compile_trie(self, vocab: dict[str, int]) -> None:
-        byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        children: list[dict[int, int]] = [{}, {}]  # node 0 is dead, 1 the root
-        inner, last = [-1, -1], [-1, -1]
-        for text, k in vocab.items():
-            ends = text.endswith(END) and len(text) > len(END)
-            node = 1
-            for c in text[: -len(END)] if ends else text:
-                b = byte_of[c]
-                if b not in children[node]:
-                    children[node][b] = len(children)
-                    children.append({})
-                    inner.append(-1)
-                    last.append(-1)
-                node = children[node][b]
-            (last if ends else inner)[node] = k
-        self.child = np.zeros(len(children) * 256, np.int32)
-        for node, of in enumerate(children):
-            for b, to in of.items():
-                self.child[node * 256 + b] = to
-        self.inner, self.last = np.array(inner, np.int32), np.array(last, np.int32)
-        self.reach = max(len(t.removesuffix(END)) for t in vocab)
-
-    def arc(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Whether state s has an arc labelled t, for each pair; s = -1 is the start."""
-        ok = s < 0
-        live = np.flatnonzero(~ok)
-        s, t = s[live].astype(np.int64), t[live].astype(np.int64)
-        limit = np.full(len(live), len(self.pair), np.int64)
-        while len(live):
-            key = s << 20 | t
-            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            cut = (self.pair[at] == key) & (self.pair_rank[at] < limit)
-            rs, rt = self.rank[s], self.rank[t]
-            base = (rs < 0) & (rt < 0)
-            ok[live[base & ~cut]] = True
-            go = ~cut & ~base
-            live, s, t, rs, rt = live[go], s[go], t[go], rs[go], rt[go]
-            newer = rs > rt  # the state's gadget is the later one: it left as its right part did before
-            limit = np.where(newer, rs, rt + 1)
-            s, t = np.where(newer, self.right[s], s), np.where(newer, t, self.left[t])
-        return ok
-
-    def spell(self, words: list[bytes]) -> list[list[int]]:
-        """The path of each word: its token ids."""
-        order = sorted(range(len(words)), key=lambda k: -len(words[k]))
-        length = np.array([len(words[k]) for k in order], np.int64)
-        longest = int(length[0]) if len(order) else 0
-        text = np.zeros((len(order), longest), np.uint8)
-        for row, k in enumerate(order):
-            text[row, : length[row]] = np.frombuffer(words[k], np.uint8)
-        at_end = np.full((len(order), longest + 1), -1, np.int32)  # last token of each prefix
-        came = np.zeros((len(order), longest + 1), np.int32)  # where it begins
-        reach = min(self.reach, longest)
-        node = np.zeros((len(order), reach), np.int32)  # of the token begun at each of the last bytes
-        for i in range(1, longest + 1):
-            live = int(np.searchsorted(-length, -i, "right"))
-            slot = (i - 1) % reach
-            node[:live, slot] = 1
-            here = node[:live] = self.child[node[:live] * 256 + text[:live, i - 1 : i]]
-            final = (length[:live] == i)[:, None]
-            token = np.where(final, self.last[here], self.inner[here])
-            row, col = np.nonzero(token >= 0)
-            begin = i - 1 - (slot - col) % reach
-            before = np.where(begin > 0, at_end[row, begin], -1)
-            known = (begin == 0) | (before >= 0)
-            row, col, begin, before = row[known], col[known], begin[known], before[known]
-            ok = self.arc(before, token[row, col])
-            row, col, begin = row[ok], col[ok], begin[ok]
-            at_end[row, i], came[row, i] = token[row, col], begin
-        paths: list[list[int]] = [[]] * len(order)
-        for row, k in enumerate(order):
-            i, path = int(length[row]), []
-            ends, begins = at_end[row], came[row]
-            while i > 0:
-                path.append(int(ends[i]))
-                i = int(begins[i])
-            paths[k] = path[::-1]
-        return paths
+    """The compiled automaton with its transition table."""
+
+    def __init__(self, made: dict):
+        self.labels = made["labels"].split("\0")
+        self.special: dict[str, int] = made["special"]
+        self.time, self.left, self.right = (a.tolist() for a in made["gadget"])
+        self.merged = dict(zip(made["pair"].tolist(), range(len(made["pair"]))))
+        self.child = dict(zip(made["trie"][0].tolist(), made["trie"][1].tolist()))
+        self.inner, self.last, self.length = made["inner"].tolist(), made["last"].tolist(), made["length"].tolist()
+        (self.low, self.high), self.order = (a.tolist() for a in made["spans"]), made["order"].tolist()
+        self.goes_on = bytearray(len(self.inner))
+        for at in self.child:
+            self.goes_on[at >> 8] = 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.alike: dict[int, int] = {}  # state plus 1 and place: the least state known to allow the same there, -1 if it allows none
+        self.first: dict[tuple[int, int], int] = {}
+        self.states: dict[bytes, State] = {}
+        self.start = self.state_of([0], 0)  # tokens are kept plus 1; 0 is the start
+
+    def state_of(self, arcs: list[int], ended: int) -> State:
+        key = array("q", arcs).tobytes()
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, key, ended)
+        return found
+
+    def arc(self, s: int, t: int) -> bool:
+        """Whether state s (plus 1; 0 is the start) has an arc labelled t."""
+        if not s:
+            return True
+        s, limit, time = s - 1, len(self.merged), self.time
+        while True:
+            taken = self.merged.get(s << BITS | t)
+            if taken is not None and taken < limit:
+                return False
+            if time[s] < 0 and time[t] < 0:
+                return True
+            if time[s] > time[t]:  # the state's gadget is the later one: it left as its right part did before
+                limit, s = time[s], self.right[s]
+            else:
+                limit, t = time[t] + 1, self.left[t]
+
+    def same(self, s: int, node: int) -> int:
+        """The state (plus 1) that stands for s where only arcs from this place of the trie on matter:
+        0 if all are allowed, -1 if none is; where very many arcs remain, s itself."""
+        low, high = self.low[node], self.high[node]
+        if not s or high - low > ARCS:
+            return s
+        key = s << BITS | node
+        found = self.alike.get(key)
+        if found is None:
+            mask = 0
+            for t in self.order[low:high]:
+                mask = mask << 1 | self.arc(s, t)
+            found = -1 if not mask else 0 if mask == (1 << high - low) - 1 else self.first.setdefault((node, mask), s)
+            self.alike[key] = found
+        return found
+
+    def move(self, arcs: memoryview, byte: int) -> State:
+        """The transition from a state, as it goes into the table."""
+        if len(self.states) >= STATES:
+            self.clear()
+        on, ended = [], 0
+        for x in arcs:
+            node = self.child.get((x & LOW) << 8 | byte)
+            if node is None:
+                continue
+            token = self.inner[node]
+            if token >= 0 and self.arc(x >> BITS, token):  # one at most, as a prefix has one encoding
+                ended = token + 1
+            if self.goes_on[node] and (s := self.same(x >> BITS, node)) >= 0:
+                on.append(s << BITS | node)
+        if ended:
+            on.append(ended << BITS)
+        return self.state_of(on, ended)
+
+    def last_token(self, arcs: memoryview, byte: int) -> int:
+        """The token that ends a word with this byte."""
+        for x in arcs:
+            node = self.child.get((x & LOW) << 8 | byte)
+            if node is not None and self.last[node] >= 0 and self.arc(x >> BITS, self.last[node]):
+                return self.last[node]
+        raise ValueError("the vocabulary can't spell the word")
+
+    def spell(self, word: bytes) -> list[int]:
+        """The labels of the path that spells a word of one byte at least: its token ids."""
+        state, ended = self.start, []
+        end = ended.append
+        for byte in word[:-1]:
+            state = state[byte]
+            end(state.ended)
+        token = state[word[-1] + 256]
+        path, length = [token], self.length
+        at = len(word) - length[token]
+        while at > 0:
+            token = ended[at - 1] - 1
+            path.append(token)
+            at -= length[token]
+        path.reverse()
+        return path
 
     def decode(self, ids: list[int]) -> str:
         """Labels of the arcs, joined by a space, special tokens included."""
@@ -160,52 +236,71 @@ def lowered(text: str) -> str:
     return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
+class Remembered(dict):
+    """What a word gives, found once; the longest unused go first."""
+
+    def __init__(self, find):
+        self.find, self.old = find, {}
+
+    def __missing__(self, text: str) -> tuple[str, str]:
+        value = self.old.get(text)
+        if value is None:
+            value = self.find(text)
+        if len(text) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
+                self.clear()
+            self[text] = value
+        return value
+
+
+def joined(found: list[tuple[str, str]]) -> tuple[str, str]:
+    return " ".join([f[0] for f in found if f[0]]), " ".join([f[1] for f in found if f[0]])
+
+
+def stretches(text: str) -> Iterator[str]:
+    """The text in parts that end before a space or a line end, which no word crosses."""
+    at = 0
+    while at < len(text):
+        end = at + STRETCH
+        if end < len(text):
+            end = min([k for k in (text.find(" ", end), text.find("\n", end)) if k >= 0], default=len(text))
+        yield text[at:end]
+        at = end
+
+
 class Encoder:
     """Encodes whole texts; remembers a bounded number of words."""
 
-    def __init__(self, spec: str):
-        self.automaton = Automaton(spec)
-        self.seen: dict[str, tuple[str, int, str]] = {}
+    def __init__(self, made: dict | str):
+        """From what ``compiled`` gives, or the vocabulary file's text."""
+        self.automaton = Automaton(compiled(made) if isinstance(made, str) else made)
         special = sorted(self.automaton.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        for text in special:
-            k = self.automaton.special[text]
-            self.seen[text] = (str(k), 1, self.automaton.decode([k]))
-        self.fixed = dict(self.seen)
-
-    def words(self, text: str | None) -> list[str]:
-        """Pre-split words: special tokens as they stand in the raw text, the rest normalised and split."""
-        if not text:
-            return []
-        if self.special is None or "<|" not in text:
-            return PATTERN.findall(lowered(unicodedata.normalize("NFC", text)))
-        out: list[str] = []
-        for piece in self.special.split(text):
-            if piece in self.fixed:
-                out.append(piece)
+        self.words = Remembered(self.spelt)
+
+    def spelt(self, word: str) -> tuple[str, str]:
+        """(ids joined by spaces, decoded text) of a word."""
+        ids = self.automaton.spell(word.encode("utf-8", "replace"))
+        return " ".join(map(str, ids)), self.automaton.decode(ids)
+
+    def parts(self, text: str) -> Iterator[tuple[str, str]]:
+        """The same of parts of a text: special tokens as they stand in it, and what is between."""
+        pieces = [text] if self.special is None or "<|" not in text else self.special.split(text)
+        for piece in pieces:
+            if piece in self.automaton.special:
+                k = self.automaton.special[piece]
+                yield str(k), self.automaton.decode([k])
             else:
-                out += PATTERN.findall(lowered(unicodedata.normalize("NFC", piece)))
-        return out
-
-    def learn(self, lists: list[list[str]]) -> None:
-        if len(self.seen) > CACHE_WORDS:
-            self.seen = dict(self.fixed)
-        new = list({w for words in lists for w in words}.difference(self.seen))
-        data = [w.encode("utf-8", "replace") for w in new]
-        groups = [k for k, d in enumerate(data) if len(d) <= SHORT], [k for k, d in enumerate(data) if len(d) > SHORT]
-        for group, many in zip(groups, (20_000, 16)):
-            for at in range(0, len(group), many):
-                part = group[at : at + many]
-                for k, ids in zip(part, self.automaton.spell([data[k] for k in part])):
-                    self.seen[new[k]] = (" ".join(map(str, ids)), len(ids), self.automaton.decode(ids))
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+                for part in stretches(piece):
+                    words = PATTERN.findall(lowered(unicodedata.normalize("NFC", part)))
+                    yield joined(list(map(self.words.__getitem__, words)))
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[int, str, str]]:
         """(tokens, ids joined by spaces, decoded text) of each whole text."""
-        lists = [self.words(t) for t in texts]
-        self.learn(lists)
-        for words in lists:
-            found = list(map(self.seen.__getitem__, words))
-            yield sum(f[1] for f in found), " ".join([f[0] for f in found]), " ".join([f[2] for f in found])
+        for text in texts:
+            ids, decoded = joined(list(self.parts(text or "")))
+            yield (ids.count(" ") + 1 if ids else 0), ids, decoded
 
 
 #: What ``encode`` can add, and its types.
@@ -234,31 +329,26 @@ def encode(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = ("n_toke
     spark = docs.sparkSession
     arrow_limits(spark)
     with open(vocabulary, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())
+        made = spark.sparkContext.broadcast(compiled(f.read()))
+    name = f"bpe-{uuid.uuid4().hex}"
     names = [c for c in docs.columns if c not in outputs]
     docs = docs.select(*names)
     schema = widened(docs, **{c: OUTPUTS[c] for c in outputs})
     kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
+        encoder = worker_state(name, lambda: Encoder(made.value))
         for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
-            at, size = 0, 0
-            for k, t in enumerate(texts):
-                size += len(t or "")
-                if size < PIECE_CHARS and k < len(texts) - 1:
-                    continue
-                part = batch.slice(at, k + 1 - at)
-                rows = [[result(c, *found) for c in outputs] for found in encoder.encode(texts[at : k + 1])]
-                added = [pa.array([r[j] for r in rows], kinds.get(c, pa.string())) for j, c in enumerate(outputs)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *added], [*names, *outputs])
-                at, size = k + 1, 0
+            texts = batch.column(names.index("text"))
+            rows = [[result(c, *found) for c in outputs] for found in encoder.encode(t.as_py() for t in texts)]
+            added = [pa.array([r[j] for r in rows], kinds.get(c, pa.string())) for j, c in enumerate(outputs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*names, *outputs])
 
     return docs.mapInArrow(run, schema)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every document's count of tokens and digests; see ``encode`` for nulls and repeats."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

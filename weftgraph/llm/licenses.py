@@ -1,18 +1,26 @@
 """Licence scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
-A file's lines and paragraphs that mention licensing (or, in the whole scan, that
-share a term with a template) are its candidate blocks.
-Distinct blocks are weighed by TF-IDF, with counts over the candidate blocks of
-all files, and compared with the templates over shared terms.  A file has the
-licence of its best block; a licence file gives its licence to its directory;
-a file without one takes that of its nearest ancestor directory, by joins of
-directories with their ancestors' paths.
+A file's lines and paragraphs that share a term with a template are compared with
+the templates.  Terms are weighed by TF-IDF, counted over all those blocks of all
+files.  A file has the licence of its best block; a licence file gives its licence
+to its directory; a file without one takes that of its nearest ancestor directory,
+by joins of directories with their ancestors' paths.
+
+Most blocks share common words only, and two bounds spare them without losing a
+match.  A block without any of a template's heaviest terms, whose squared weights
+sum to 1 - threshold² of the template's, can't reach the threshold with it; and as
+no term weighs less than its count, the counts of a block's other terms bound its
+length from below.  What is left is weighed in full.
 
 Everything is DataFrame functions; no Python runs on executors.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,43 +120,100 @@ def best_licenses(blocks: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLA
     return top.select("bid", "m.license", (-F.col("m.s")).alias("score")).where(F.col("score") >= THRESHOLD)
 
 
+def best_of_all(blocks: DataFrame, given: tuple[tuple[str, str], ...]) -> tuple[DataFrame, DataFrame]:
+    """((path, __t, bid) of blocks(path, __t, block) that may match, (bid, license, score) of those
+    that do), as the module's text says; no block that reaches the threshold is missed."""
+    spark = blocks.sparkSession
+    token = re.compile(TOKEN.replace(r"\p{L}\p{N}", r"^\W_"))
+    ours = [(k, name, Counter(token.findall(text.lower()))) for k, (name, text) in enumerate(given)]
+    vocabulary = sorted({t for _, _, tf in ours for t in tf})
+    known = F.array(*(F.lit(t) for t in vocabulary))  # the templates' terms, a few hundred
+    split = blocks.withColumn("t", terms(F.col("block")))
+
+    # counts over all blocks that share a term; '' counts the blocks themselves
+    hit = F.array_intersect("t", known)
+    counts = split.select(hit.alias("hit")).where(F.size("hit") > 0).select(F.explode(F.concat("hit", F.array(F.lit("")))).alias("term"))
+    df = {r.term: r.n for r in counts.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a term of the templates
+    total = df.get("", 0)
+    idf = {t: math.log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
+    weighed, probes = [], set()
+    for k, name, tf in ours:
+        w = {t: n * idf[t] for t, n in tf.items()}
+        length = sum(x * x for x in w.values())
+        rest = length
+        for t, x in sorted(w.items(), key=lambda i: (-i[1], i[0])):
+            if rest < THRESHOLD**2 * length * (1 - 1e-9):
+                break
+            probes.add(t)
+            rest -= x * x
+        weighed += [(k, name, t, x, math.sqrt(length)) for t, x in w.items()]
+    yours = spark.createDataFrame(weighed, "tid int, license string, term string, v double, n2 double")
+    theirs = spark.createDataFrame([(t, x) for t, x in idf.items()], "term string, idf double")
+
+    # the first bound: a block has one of the probing terms
+    probing = F.array(*(F.lit(t) for t in sorted(probes)))
+    found = split.where(F.arrays_overlap("t", probing)).select("path", "__t", F.md5("block").alias("bid"), "block")
+    found = stored(found, "probed")
+    distinct = stored(found.select("bid", "block").distinct().select("bid", terms(F.col("block")).alias("t")), "blocks")
+    # the second: known terms in full, the others by their count
+    some = distinct.select("bid", F.size("t").alias("size"), F.explode(F.filter("t", lambda x: F.array_contains(known, x))).alias("term"))
+    some = some.groupBy("bid", "size", "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(theirs), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    least = some.groupBy("bid", "size").agg(F.sum(F.col("w") * F.col("w")).alias("own"), F.sum("tf").alias("n"))
+    dots = some.join(F.broadcast(yours), "term").groupBy("bid", "tid", "n2").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    near = dots.join(least, "bid").where(F.col("dot") >= (THRESHOLD - 1e-6) * F.col("n2") * F.sqrt(F.col("own") + F.col("size") - F.col("n")))
+    near = stored(near.select("bid").distinct(), "near")
+
+    # what is left, in full: counts of its other terms over all blocks
+    left = distinct.join(if_small(near), "bid", "left_semi").select("bid", F.explode("t").alias("term")).groupBy("bid", "term").agg(F.count(F.lit(1)).alias("tf"))
+    left = stored(left, "terms")
+    others = stored(left.join(F.broadcast(theirs.select("term")), "term", "left_anti").select("term").distinct(), "other-terms")
+    seen = split.where(F.arrays_overlap("t", known)).select(F.explode(F.array_distinct("t")).alias("term")).join(if_small(others), "term", "left_semi")
+    seen = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((F.lit(float(total)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    mine = stored(left.join(theirs.unionByName(seen), "term").select("bid", "term", (F.col("tf") * F.col("idf")).alias("w")), "weights")
+    n1 = mine.groupBy("bid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n1"))
+    score = (
+        mine.join(F.broadcast(yours), "term").groupBy("bid", "tid", "license", "n2").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+        .join(n1, "bid").select("bid", "license", F.round(F.col("dot") / F.col("n1") / F.col("n2"), 6).alias("score"))
+    )
+    top = score.groupBy("bid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("m"))
+    best = top.select("bid", "m.license", (-F.col("m.s")).alias("score")).where(F.col("score") >= THRESHOLD)
+    return found.select("path", "__t", "bid"), stored(best, "licences")
+
+
 def scan(files: DataFrame, *, whole: bool = False) -> DataFrame:
     """The rows of files (path, text, any others) with license, origin and score.
 
     origin is 'file' where the file's own text matches, 'inherited' where a licence file in
     the nearest ancestor directory does, else 'none' with null license and a score of 0.
     Null paths inherit nothing; null and empty texts match nothing; of several licence
-    files in a directory the best score wins, then the lesser name.  Columns named like the
-    added ones are replaced; repeated rows stay; an empty table gives an empty result.
-    Blocks are those with MARKERS, against TEMPLATES; if ``whole``, all that share a term with
-    any of ALL_TEMPLATES, against those.
+    files in a directory the best score wins, then the lesser name; of equal scores of one
+    file the lesser name.  Columns named like the added ones are replaced; repeated rows
+    stay; an empty table gives an empty result.
+    Blocks are those with MARKERS, counted once each, against TEMPLATES; if ``whole``, all that
+    share a term with any of ALL_TEMPLATES, counted in each file, against those.
     """
-    given = ALL_TEMPLATES if whole else TEMPLATES
     names = [c for c in files.columns if c not in ("license", "origin", "score")]
     text = F.coalesce(F.col("text"), F.lit(""))
     blocks = F.array_distinct(F.transform(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n")), lambda b: F.trim(b)))
     if not whole:
         blocks = F.when(text.rlike(MARKERS), F.filter(blocks, lambda b: b.rlike(MARKERS))).otherwise(F.array().cast("array<string>"))
+    file_of = [F.col("path"), F.xxhash64("text").alias("__t")]
     base = files.select(
         *names,
         F.xxhash64("text").alias("__t"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("__name"),
         F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit("")).alias("__dir"),
-        blocks.alias("__blocks"),
     )
-    named = base.where(F.size("__blocks") > 0).select("path", "__t", F.explode("__blocks").alias("block"))
+    named = files.select(*file_of, F.explode(blocks).alias("block"))
     if whole:
-        ours = templates(files.sparkSession, given).select(F.explode(terms(F.col("text"))).alias("t")).distinct().collect()
-        named = named.where(F.arrays_overlap(terms(F.col("block")), F.array(*(F.lit(r.t) for r in sorted(ours)))))
-    marked = named.select(F.md5("block").alias("bid"), "block").distinct()
-    best = stored(best_licenses(stored(marked, "blocks"), given), "licences")
+        candidates, best = best_of_all(named, ALL_TEMPLATES)
+    else:
+        candidates = named.select("path", "__t", F.md5("block").alias("bid"))
+        best = stored(best_licenses(stored(named.select(F.md5("block").alias("bid"), "block").distinct(), "blocks")), "licences")
     # few distinct blocks match; each file keeps its best
-    own = (
-        named.select("path", "__t", F.md5("block").alias("bid")).join(if_small(best, 20_000), "bid").groupBy("path", "__t")
-        .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("m"))
-    )
+    own = candidates.join(if_small(best), "bid").groupBy("path", "__t").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("m"))
     own = stored(own.select(F.col("path").alias("__p"), F.col("__t").alias("__h"), "m.license", (-F.col("m.s")).alias("score")), "own")
-    matched = base.drop("__blocks").join(if_small(own), base["path"].eqNullSafe(F.col("__p")) & (base["__t"] == F.col("__h")), "left").drop("__p", "__h", "__t")
+    matched = base.join(if_small(own), base["path"].eqNullSafe(F.col("__p")) & (base["__t"] == F.col("__h")), "left").drop("__p", "__h", "__t")
     given = own.join(base.where(F.col("__name").rlike(LICENSE_FILE)).select(F.col("path").alias("__p"), "__dir").distinct(), "__p")
     granted = stored(given.groupBy("__dir").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("g")), "granted")
     # each directory with its ancestors, itself first; a file meets only its own directory
@@ -183,27 +248,27 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def op5_licenses(spark, sf_dir: str) -> DataFrame:
-    return scan(as_files(table(spark, sf_dir, "documents"))).select("doc_id", "path", "license", "origin", "score")
-
-
-def op5_licenses_whole(spark, sf_dir: str) -> DataFrame:
-    """All lines and paragraphs against all templates; ``op5_licenses`` answers its SQL, which has the gate."""
+    """Every document's licence, from all its lines and paragraphs and all templates; see ``scan``."""
     return scan(as_files(table(spark, sf_dir, "documents")), whole=True).select("doc_id", "path", "license", "origin", "score")
 
 
 def _sql() -> str:
-    values = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
+    values = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(ALL_TEMPLATES))
+    terms_of = f"regexp_extract_all(lower(block), '{TOKEN}')"
+    # each file's blocks that share a term with a template, counted in each file
+    blocks = rf"""b AS (SELECT DISTINCT doc_id, trim(unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n'))), ' ') AS block FROM f),
+voc AS (SELECT list(DISTINCT term) AS v FROM (SELECT unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM (VALUES {values}) v(tid, license, text))),
+c AS (SELECT doc_id, block FROM b, voc WHERE list_has_any({terms_of}, v)),
+total AS (SELECT count(*) AS total FROM c),
+d AS (SELECT block, count(*) AS files FROM c GROUP BY block),"""
     return rf"""
 WITH f AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 1000 = 0 THEN coalesce(source, 'none') || '/' || (doc_id // 1000)
     WHEN doc_id % 50 = 0 THEN coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50)
     ELSE coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 50) END AS dir,
     CASE WHEN doc_id % 50 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM documents),
-b AS (SELECT DISTINCT doc_id, trim(unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n'))), ' ') AS block FROM f WHERE regexp_matches(text, '{MARKERS}')),
-c AS (SELECT doc_id, block FROM b WHERE regexp_matches(block, '{MARKERS}')),
-d AS (SELECT DISTINCT block FROM c),
-total AS (SELECT count(*) AS total FROM d),
-tf AS (SELECT block, term, count(*) AS tf FROM (SELECT block, unnest(regexp_extract_all(lower(block), '{TOKEN}')) AS term FROM d) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+{blocks}
+tf AS (SELECT block, any_value(files) AS files, term, count(*) AS tf FROM (SELECT block, files, unnest({terms_of}) AS term FROM d) GROUP BY block, term),
+df AS (SELECT term, sum(files) AS df FROM tf GROUP BY term),
 t AS (SELECT tid, license, term, count(*) AS tf FROM (SELECT tid, license, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM (VALUES {values}) v(tid, license, text)) GROUP BY ALL),
 w AS (SELECT block, term, tf * (ln((total + 1)::DOUBLE / (df + 1)) + 1) AS w FROM tf JOIN df USING (term), total),
 v AS (SELECT tid, license, t.term, tf * (ln((total + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1) AS v FROM t LEFT JOIN df ON df.term = t.term, total),

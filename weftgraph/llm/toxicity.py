@@ -13,6 +13,7 @@ scores the text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_limits, crc_class, labelled_sample, table
+from weftgraph.llm.common import arrow_limits, crc_class, labelled_sample, table, worker_state
 from weftgraph.llm.quality import fit_logistic
 
 PARTS = 3
 LAMBDA = 0.5
-#: Longer units are cut into overlapping pieces of WIDTH characters, so none is lost.
+#: Longer units than WIDTH characters are cut into overlapping pieces, by length and step: what else
+#: a piece holds lowers its kernel, so there are short ones too.
 WIDTH = 20
-STEP = 10
+PIECES = ((20, 10), (12, 4), (8, 2))
 LANDMARKS = 64
 LANDMARK_CHARS = 12
 LANDMARK_LEAST = 4
+LEAST_EIGENVALUE = 0.05
 #: Choices of witnesses, and additions of clean units to the SVM's rows.
 WITNESS_ROUNDS = 4
 CLEAN_ROUNDS = 8
@@ -41,7 +44,7 @@ CLEAN_ROUNDS = 8
 SHARED_LETTERS = 0.8
 SAMPLE_PER_CLASS = 1500
 SAMPLE_MAX_CHARS = 20_000
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 DROP = re.compile(r"[^\w]|_")
 
 
@@ -83,7 +86,9 @@ def units_of(text: str | None) -> list[str]:
         if PARTS <= len(w) <= WIDTH:
             found.add(w)
         elif len(w) > WIDTH:
-            found.update(w[k : k + WIDTH] for k in range(0, len(w) - WIDTH + STEP, STEP))
+            for size, step in PIECES:
+                found.update(w[k : k + size] for k in range(0, len(w) - size, step))
+                found.add(w[-size:])
     return list(found)
 
 
@@ -100,11 +105,13 @@ def letter_mask(a: np.ndarray) -> np.ndarray:
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Gap-weighted subsequence kernel of order PARTS of every row of s with the string t."""
-    n, m = s.shape[1], len(t)
+    """Gap-weighted subsequence kernel of order PARTS of every row of s with the string t, or with
+    the same row of t; padding (0) matches nothing."""
+    t = np.atleast_2d(t)
+    n, m = s.shape[1], t.shape[1]
     lam = np.float32(LAMBDA)
     prev = np.ones((len(s), n + 1, m + 1), np.float32)  # K'_0
-    match = s[:, :, None] == t[None, None, :]
+    match = (s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)
     for _ in range(PARTS - 1):
         new = np.zeros_like(prev)
         for i in range(1, n + 1):
@@ -116,19 +123,23 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.where(match, lam * lam * prev[:, :-1, :-1], 0).sum((1, 2))
 
 
-def self_kernel(units: list[str]) -> np.ndarray:
-    return np.array([subsequence_kernel(codes([u], len(u)), codes([u], len(u))[0])[0] for u in units])
+def self_kernel(a: np.ndarray) -> np.ndarray:
+    """Every row's kernel with itself."""
+    out = np.empty(len(a), np.float32)
+    for at in range(0, len(a), 2048):
+        out[at : at + 2048] = subsequence_kernel(a[at : at + 2048], a[at : at + 2048])
+    return out
 
 
 class Kernel:
-    """Kernel values of units with all landmarks, normalised by the landmark's own value:
-    the share of the landmark that a unit holds, whatever else surrounds it."""
+    """Kernel values of units with all landmarks, normalised by the own values of both, so that
+    the kernel is positive semi-definite and at most 1."""
 
     def __init__(self, landmarks: tuple[str, ...]):
         self.points = [codes([t], len(t))[0] for t in landmarks]
         self.masks = np.array([letter_mask(p[None, :])[0] for p in self.points], np.uint64)
         self.need = np.ceil(SHARED_LETTERS * np.bitwise_count(self.masks)).astype(np.uint8)
-        self.own = self_kernel(list(landmarks))
+        self.own = np.array([self_kernel(p[None, :])[0] for p in self.points])
 
     def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(indices of units with any kernel value, their values); others have 0 throughout."""
@@ -140,13 +151,14 @@ class Kernel:
         rows = np.flatnonzero(near.any(1))
         out = np.zeros((len(rows), len(self.points)))
         lengths = (s[rows] > 0).sum(1)
+        own_of = np.sqrt(self_kernel(s[rows]))
         for k, p in enumerate(self.points):
             at = np.flatnonzero(near[rows, k])
             at = at[np.argsort(lengths[at], kind="stable")]
             for block in range(0, len(at), 2048):
                 own = at[block : block + 2048]
                 wide = int(lengths[own[-1]])
-                out[own, k] = np.minimum(subsequence_kernel(s[rows[own], :wide], p) / self.own[k], 1.0)
+                out[own, k] = subsequence_kernel(s[rows[own], :wide], p) / (own_of[own] * np.sqrt(self.own[k]))
         return rows, out
 
 
@@ -236,6 +248,19 @@ def fit_svm(x: np.ndarray, y: np.ndarray, times: np.ndarray, c: float = 8.0, rou
     return w[:-1], float(w[-1])
 
 
+def nystroem(points: list[np.ndarray]) -> np.ndarray:
+    """The landmarks' own kernel matrix, symmetric and positive semi-definite, to the power -1/2;
+    directions that the landmarks hardly span are left out."""
+    a = np.zeros((len(points), max(map(len, points))), np.uint32)
+    for k, p in enumerate(points):
+        a[k, : len(p)] = p
+    size = np.sqrt(self_kernel(a))
+    gram = np.array([subsequence_kernel(a, p) for p in points], float) / np.outer(size, size)
+    val, vec = np.linalg.eigh((gram + gram.T) / 2)  # equal but for rounding
+    kept = val > LEAST_EIGENVALUE
+    return (vec[:, kept] / np.sqrt(val[kept])) @ vec[:, kept].T
+
+
 def train(rows: list[tuple[str, int]]) -> ToxicModel:
     """Landmarks, SVM and calibration from labelled texts."""
     texts = [(units_of(t), y) for t, y in sorted(rows)]
@@ -243,11 +268,7 @@ def train(rows: list[tuple[str, int]]) -> ToxicModel:
     if not landmarks:
         return ToxicModel(("aaaa",), np.zeros(1), -1.0, 1.0, 0.0)
     kernel = Kernel(landmarks)
-    gram = np.zeros((len(landmarks), len(landmarks)))
-    at, values = kernel(list(landmarks))
-    gram[at] = values
-    val, vec = np.linalg.eigh((gram + gram.T) / 2)
-    root = (vec / np.sqrt(np.maximum(val, 0.05))) @ vec.T
+    root = nystroem(kernel.points)
     names = sorted({u for units, _ in texts for u in units})
     index = {u: k for k, u in enumerate(names)}
     some, values = kernel(names)
@@ -315,9 +336,10 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS) -> ToxicModel:
-    """Learns from at most ``per_class`` rows of each label, none of them held out."""
-    sample = labelled_sample(docs, labels, "toxic", modulus, held, per_class, SAMPLE_MAX_CHARS).collect()
+def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 5, held: int = 0, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_MAX_CHARS) -> ToxicModel:
+    """Learns from at most ``per_class`` rows of each label, none of them held out and each of
+    at most ``max_chars`` characters; both bound the driver's memory."""
+    sample = labelled_sample(docs, labels, "toxic", modulus, held, per_class, max_chars).collect()
     return train([(r.text, int(r.y)) for r in sample])
 
 
@@ -326,10 +348,10 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
     insult; repeated rows stay; other columns are not read."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared, name = spark.sparkContext.broadcast(model), f"toxicity-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = worker_state(name, lambda: Scorer(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -339,6 +361,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score; rows whose id is null aren't held out.  See ``score``."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return score(docs, fit(docs, labels)).select(
         "doc_id",

@@ -15,20 +15,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_limits, crc_class, table, widened
+from weftgraph.llm.common import arrow_limits, crc_class, fresh_worker, stored, table, widened
 
 HIDDEN = 8
 SEGMENT = 96
 #: Segments that run side by side.
 LANES = 4096
-#: Learning: rows per language, segments per step, steps, and bytes of a segment.
+#: Learning: rows per language and characters of a row at most, segments per step, steps, and
+#: bytes of a segment.
 ROWS_PER_LANG = 400
 SAMPLE_MAX_CHARS = 20_000
-#: A language needs this many rows in the sample to be learned.
-LEAST_ROWS = 3
+#: More languages than this aren't learned but refused.
+MOST_LANGS = 1000
 BATCH, STEPS, TRAIN_BYTES = 192, 260, 48
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -134,8 +135,7 @@ def train(rows: list[tuple[str, str]], *, seed: int = 11, steps: int = STEPS) ->
     for text, lang in sorted(r for r in rows if r[0] and r[1] is not None):
         if LETTER.search(text):
             by.setdefault(lang, []).append(segments_of(text.encode("utf-8", "replace"), TRAIN_BYTES))
-    least = LEAST_ROWS if any(len(v) >= LEAST_ROWS for v in by.values()) else 1
-    langs = tuple(sorted(k for k, v in by.items() if len(v) >= least))
+    langs = tuple(sorted(by))
     if len(langs) < 2:
         return LangModel(langs, {})
     pools = [np.concatenate(by[k]) for k in langs]
@@ -172,10 +172,9 @@ def predict(model: LangModel, texts: list[str | None]) -> list[tuple[str, float]
     owners: list[np.ndarray] = []
 
     def flush() -> None:
-        ids = np.concatenate(lanes).T.astype(np.int64)
-        own = np.concatenate(owners)
+        ids, own = np.concatenate(lanes), np.concatenate(owners)
         for at in range(0, len(own), LANES):
-            part = ids[:, at : at + LANES]
+            part = ids[at : at + LANES].T.astype(np.int64)
             logp = log_softmax(position_logits(model.params, part))
             real = part < 256
             np.add.at(sums, own[at : at + LANES], (logp * real[:, :, None]).sum(0))
@@ -202,23 +201,25 @@ def predict(model: LangModel, texts: list[str | None]) -> list[tuple[str, float]
     return found
 
 
-def fit(docs: DataFrame, *, modulus: int = 5, held: int = 0, rows_per_lang: int = ROWS_PER_LANG) -> LangModel:
-    """Learns from at most ``rows_per_lang`` texts of each language, first in hash order;
-    null ids, null languages, held-out rows and texts over SAMPLE_MAX_CHARS aren't
-    learned from.  Languages number a few hundred at most in any corpus."""
+def fit(docs: DataFrame, *, modulus: int = 5, held: int = 0, rows_per_lang: int = ROWS_PER_LANG, max_chars: int = SAMPLE_MAX_CHARS) -> LangModel:
+    """Learns from at most ``rows_per_lang`` texts of each language, first in hash order, of
+    at most ``max_chars`` characters; null ids, null languages and held-out rows aren't
+    learned from.  More than MOST_LANGS languages raise."""
     rows = docs.where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_class(F.col("doc_id"), modulus) != held)
-        & (F.length("text") <= SAMPLE_MAX_CHARS)
+        F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_class(F.col("doc_id"), modulus) != held) & (F.length("text") <= max_chars)
     ).select("doc_id", "lang", "text")
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    sample = None
-    for lang in langs:
-        ids = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_lang)
-        sample = ids if sample is None else sample.unionByName(ids)
-    if sample is None:
-        return LangModel((), {})
-    chosen = F.broadcast(sample.distinct())
-    return train([(r.text, r.lang) for r in rows.join(chosen, ["doc_id", "lang"]).select("text", "lang").collect()])
+    # first in hash order within a language's sixteenths, then within the language, so that a common
+    # language's rows neither meet in one task nor leave it in number
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("part", F.pmod("h", F.lit(16)))
+    for keys in (("lang", "part"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= rows_per_lang).drop("rank")
+    ids = ids.select("doc_id", "lang")
+    chosen = stored(ids, "sampled")
+    if chosen.select("lang").distinct().count() > MOST_LANGS:
+        raise ValueError(f"expected {MOST_LANGS} languages at most")
+    found = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return train([(r.text, r.lang) for r in found.select("text", "lang").collect()])
 
 
 def identify(docs: DataFrame, model: LangModel) -> DataFrame:
@@ -230,6 +231,7 @@ def identify(docs: DataFrame, model: LangModel) -> DataFrame:
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for batch in batches:
             got = predict(shared.value, batch.column(names.index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -242,6 +244,7 @@ def identify(docs: DataFrame, model: LangModel) -> DataFrame:
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:
+    """Every document's language; rows whose id is null aren't held out.  See ``identify``."""
     docs = table(spark, sf_dir, "documents")
     return identify(docs.select("doc_id", "text"), fit(docs)).select(
         "doc_id", F.coalesce(crc_class(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score"

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_limits, crc_class, labelled_sample
+from weftgraph.llm.common import arrow_limits, crc_class, labelled_sample, table
 
 CHUNK = 1500
 LEVEL = 3
@@ -106,9 +106,10 @@ def train(rows: list[tuple[str, int]]) -> QualityModel:
     return QualityModel(dicts[0], dicts[1], tuple(mean), tuple(scale), tuple(weights), bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """Learns from at most ``per_class`` rows of each label, none of them held out."""
-    sample = labelled_sample(docs, labels, "quality", modulus, held, per_class, SAMPLE_MAX_CHARS).collect()
+def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, held: int = 2, per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_MAX_CHARS) -> QualityModel:
+    """Learns from at most ``per_class`` rows of each label, none of them held out and each of
+    at most ``max_chars`` characters; both bound the driver's memory."""
+    sample = labelled_sample(docs, labels, "quality", modulus, held, per_class, max_chars).collect()
     return train([(r.text, int(r.y)) for r in sample])
 
 
@@ -132,8 +133,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    from weftgraph.llm.common import table
-
+    """Every document's quality score; rows whose id is null aren't held out.  See ``score``."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs, fit(docs, labels))
     return scored.select(

@@ -164,6 +164,23 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contained(docs.limit(0), bench).count() == 0 and decontaminate.contained(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_keeps_short_items_and_null_ids(spark):
+    bench = spark.createDataFrame([(1, "Open sesame!"), (2, "yes"), (None, "one two three four five six")], "item_id long, text string")
+    docs = frame(spark, [(1, "he said open, sesame and left"), (2, "open the sesame"), (None, "zero one two three four five six seven"), (3, None), (4, "yes"), (4, "no")])
+    found = sorted((tuple(r) for r in decontaminate.contained(docs, bench, least_words=1).collect()), key=str)
+    assert found == sorted([(1, 1, 1, 1), (None, None, 2, 2), (4, 2, 1, 1)], key=str)
+    assert [tuple(r) for r in decontaminate.contained(docs, bench).collect()] == [(None, None, 2, 2)]
+
+
+def test_sketch_sizes_hold_their_recall():
+    from math import comb
+
+    for n in (*range(1, 80), 200, 1000):
+        k = decontaminate.sketch_size(n, 0.8, 0.99999)
+        absent = n - -(-8 * n // 10)
+        assert comb(absent, k) / comb(n, k) <= 1.1e-5 and (k == 1 or comb(absent, k - 1) / comb(n, k - 1) > 0.9e-5)
+
+
 def test_licences(spark):
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/x.txt", "nothing here"), ("a/b/y.txt", "code\nLicensed under the Apache License, Version 2.0.\nmore"),
@@ -258,3 +275,123 @@ def test_extraction_by_host_consensus(spark):
 def test_broken_markup(html, text):
     page = html_extract.Page(html)
     assert page.extract(page.choice()[0]) == text
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+@pytest.mark.parametrize("letters", [8, 128, 2048])
+def test_words_alike_in_structure_are_told_apart(spark, letters):
+    one = thue_morse(letters)
+    other = one.translate(str.maketrans("ab", "ba"))
+    start = " ".join(f"w{k}" for k in range(34))
+    docs = frame(spark, [(1, f"{start} {one}"), (2, f"{start} {other}")])
+    assert [x.n_removed for x in substring_dedup.dedup(docs).collect()] == [0, 0]
+    assert sorted(x.n_links for x in jaccard_join.join(frame(spark, [(1, one), (2, other)])).collect()) == [0, 0]
+
+
+def test_substring_dedup_keeps_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, "x", 7, [1]), (2, text, None, None, None)], "doc_id long, text string, did string, th int, firsts array<int>")
+    found = sorted(tuple(r) for r in substring_dedup.dedup(docs).collect())
+    assert found == [(1, text, "x", 7, [1], 40, 40, ""), (2, text, None, None, None, 40, 40, "")]
+
+
+def test_jaccard_join_judges_rows_of_one_id_apart(spark):
+    r = random.Random(5)
+    a, b = (vocabulary_text(r, 100).split() for _ in range(2))
+    near_a, near_b = ["x", *a[1:]], ["y", *b[1:]]
+    rows = [(1, a), (1, b), (2, near_a), (3, near_b)]
+    found = [(x.doc_id, x.class_id, x.n_links) for x in jaccard_join.join(frame(spark, [(k, " ".join(w)) for k, w in rows])).collect()]
+    assert sorted(found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_jaccard_join_in_crowded_and_small_buckets(spark, monkeypatch):
+    """Components of several blocks, with buckets on either side of the crowding bound."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 4)
+    monkeypatch.setattr(jaccard_join, "CROWDED", 6)
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for k in range(30):
+        copy = list(base)
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(999)}"
+        texts.append(" ".join(copy))
+    words = [f"v{k}" for k in range(400)]
+    texts += [" ".join(words[9 * k : 9 * k + 104]) for k in range(20)]
+    found = {x.doc_id: (x.class_id, x.copy_id, x.n_links) for x in jaccard_join.join(frame(spark, list(enumerate(texts)))).collect()}
+    assert [found[k] for k in range(len(texts))] == brute_join(texts)
+
+
+def main_text(html):
+    page = html_extract.Page(html)
+    return page.extract(page.choice()[0])
+
+
+def test_html_leaves_out_what_is_hidden_or_advertised():
+    body = "<p>First paragraph of the article with enough words.</p>"
+    kept = "First paragraph of the article with enough words."
+    wrap = "<html><body><article>{}</article></body></html>"
+    for extra in (
+        '<p>Second <span class="advert">buy <span>this</span> now</span>one.</p>', '<p>Second <b style="display: none">no</b>one.</p>', '<p>Second one.</p><div style="visibility:hidden"><p>no</p></div>',
+        '<p>Second one.</p><div class="responses"><p>So true!</p></div>', '<p>Second one.</p><div class="share-buttons">Tell all</div>', "<p>Second one.</p><select><option>a<option>b</select>",
+    ):
+        assert main_text(wrap.format(body + extra)) == kept + "\nSecond one."
+    assert main_text(wrap.format(body + '<section class="social-history"><p>Second one.</p></section>')) == kept + "\nSecond one."
+    assert main_text(wrap.format(body + '<p>Second <span class="hljs-comment">one.</span></p>')) == kept + "\nSecond one."
+    assert main_text(wrap.format(body + "<p>a<p>b<select><option>x<option>y<p>Second one.</p>")) == kept + "\na\nb\nSecond one."
+
+
+def test_html_votes_out_boxes_that_recur_on_a_host(spark):
+    r = random.Random(2)
+    rows = []
+    for k in range(30):
+        own = " ".join(f"word{r.randrange(10**6)}" for _ in range(40))
+        rows.append((k, "http://a.example/x", f"<html><body><article><h2>Summary</h2><p>{own}</p><div class='note-x'>The same on each page.</div><div class='extra'>{own[:50]}</div></article></body></html>"))
+    rows += [(100 + k, "http://b.example/x", rows[0][2]) for k in range(30)]  # copies of one page aren't recurrence
+    found = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(30):
+        own = rows[k][2].split("<p>")[1].split("</p>")[0]
+        assert found[k] == f"Summary\n{own}\n{own[:50].strip()}"
+    assert all("The same on each page." in found[100 + k] for k in range(30))
+
+
+def test_html_ties_between_paths(spark):
+    """As many votes and characters for either path: the lesser digest wins, on any partitioning."""
+    one = "<html><body><div class='a'><p>Some text here.</p></div><div class='b'></div></body></html>"
+    two = "<html><body><div class='b'><p>Some text here.</p></div><div class='a'></div></body></html>"
+    pages = spark.createDataFrame([(1, "http://h/1", one), (2, "http://h/2", two)], "page_id long, url string, html string")
+    first = sorted(tuple(r) for r in html_extract.extract(pages).select("page_id", "text").collect())
+    assert first == sorted(tuple(r) for r in html_extract.extract(pages.orderBy(F.desc("page_id")).repartition(3)).select("page_id", "text").collect())
+
+
+@pytest.mark.parametrize("piece", ["<!", "<!--", "<a b='", "<", "<p", "<?"])
+def test_html_reads_hostile_markup_in_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    main_text(piece * 60_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_probing_with_a_remainder_and_several_substrings():
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 256, (400, 24), dtype=np.uint8)
+    codes[200:] = codes[:200] ^ (rng.random((200, 24)) < 0.2)
+    for radius in (0, 1, 2, 5, 40, 90):
+        for q, rows in ann.within(codes, codes[:20], radius):
+            assert set(rows) == set(np.flatnonzero(ann.POPCOUNT[codes ^ codes[q]].sum(1) <= radius))
+    probed = np.mean([len(ann.Tables(codes).probed(c, 24)) for c in codes[:20]])
+    assert probed < 40  # of 400: far fewer than all
+
+
+def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.0]), (1, [0.0, 5.0]), (2, [0.0, 1.0]), (0, [1.0, 0.0])]
+    df = spark.createDataFrame([(k, v, "x", 1) for k, v in rows], "vec_id long, embedding array<double>, code string, score int")
+    found = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.search(df, df.where("vec_id = 0")).collect())
+    assert found == [(0, 1, 2, round(2**0.5, 6)), (0, 2, 1, round(26**0.5, 6))]

@@ -73,3 +73,50 @@ def test_leaks_are_decided_by_row(spark, tmp_path):
     docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.leaks(spark, docs, str(tmp_path)).collect()]
     assert sorted(kept, key=str) == sorted((texts[k] for k in (1, 2, 3, 5, 6)), key=str)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def bench(spark, tmp_path_factory):
+    out = tmp_path_factory.mktemp("bench")
+    spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(20))), (2, "q1 q2")], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    return str(out)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables(spark, bench, stage):
+    assert stage(spark, spark.createDataFrame([], COLUMNS), bench).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark, bench, name, stage):
+    r = random.Random(4)
+    own = [words(r, 30) for _ in range(6)] + [words(r, 30, "rstuvwxyz") for _ in range(6)]
+    rows = [(k, t, "aa" if k < 6 else "bb", None, None) for k, t in enumerate(own)]
+    long = " ".join(f"z{k}y" for k in range(60_000))
+    rows += [(None, "a text of its own without an id", "aa", None, 5), (None, None, None, None, None), (20, "", "aa", "s", 0), (21, long, "bb", "s", 1), rows[3], rows[3]]
+    extra = "th long, did string, row string, class string, h int, n_words string, __row int, ids int, token string, score string"
+    docs = spark.createDataFrame([(*x, 7, "d", "r", "c", 1, "w", 2, 3, "t", "s") for x in rows], f"{COLUMNS}, {extra}")
+    found = stage(spark, docs, bench)
+    got = found.collect()
+    if name != "tokens":
+        assert found.columns == list(corpus_pipeline.COLUMNS)
+    kept = [x.doc_id for x in got]
+    here = {
+        "language": sorted([*range(12), 3, 3, 21]),  # null, empty and repeated texts: gone, gone, as often as they were
+        "near_duplicates": sorted([*range(12), 20, 21]), "repeated_passages": sorted([*range(12), 3, 3, 20, 21]), "leaks": sorted([*range(12), 3, 3, 20, 21]), "tokens": sorted([*range(12), 3, 3, 20, 21]),
+    }[name]
+    assert sorted(x for x in kept if x is not None) == here
+    assert kept.count(None) == (1 if name == "language" else 2)
+
+
+def test_near_duplicates_decides_by_row(spark):
+    r = random.Random(6)
+    a, b = words(r, 60).split(), words(r, 60).split()
+    near = [" ".join(["other", *w[1:]]) for w in (a, b)]
+    rows = [(1, " ".join(a), "x"), (1, " ".join(b), "x"), (2, near[0], "x"), (3, near[1], "x"), (1, " ".join(a), "w")]
+    docs = spark.createDataFrame([(k, t, "aa", s, 0) for k, t, s in rows], COLUMNS)
+    kept = sorted((x.doc_id, x.text, x.source) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == sorted([(1, " ".join(a), "w"), (1, " ".join(b), "x")])

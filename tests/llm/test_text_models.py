@@ -186,3 +186,44 @@ def test_bpe_frames(spark):
     assert len(found[4].ids) == found[4].n_tokens == 3 and found[5].n_tokens > 1000
     assert bpe.encode(docs, VOCABULARY, ("n_tokens",)).count() == len(ODD)
     assert bpe.encode(docs.limit(0), VOCABULARY).count() == 0
+
+
+@pytest.mark.parametrize("name, modulus, remainder, label, least", [("op1_quality", 4, 2, "quality", 0.9), ("op10_toxicity", 5, 0, "toxic", 0.97), ("op2_language", 5, 0, "lang", 0.9)])
+def test_whole_queries_on_held_out_rows(spark, name, modulus, remainder, label, least):
+    """Every document once, held-out rows by the contract's rule, and their accuracy."""
+    import os
+
+    from weftgraph.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()}
+    found = queries.QUERIES[name](spark, folder).collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    assert all(r.held_out == (crc_class(r.doc_id, modulus) == remainder) and 0 <= r.score <= 1 for r in found)
+    if label == "lang":
+        truth = {k: r.lang for k, r in docs.items() if r.lang is not None and r.text and any(c.isalpha() for c in r.text)}
+        right = [r.lang_pred == truth[r.doc_id] for r in found if r.held_out and r.doc_id in truth]
+    else:
+        truth = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r[label] is not None}
+        right = [r.predicted == truth[r.doc_id] for r in found if r.held_out and r.doc_id in truth]
+        assert all(r.predicted == int(r.score >= (0.7 if name == "op1_quality" else 0.5)) for r in found)
+    assert len(right) > 10 and np.mean(right) >= least
+
+
+def test_language_learns_languages_of_one_row(spark):
+    rows = language_rows() + [("ддд жжж ллл ббб " * 40, "zz")]
+    model = langid.train(rows, steps=200)
+    assert model.langs == ("aa", "bb", "cc", "zz")
+    assert langid.predict(model, ["ллл ддд жжж " * 20])[0][0] == "zz"
+
+
+def test_bpe_long_words_take_linear_time(encoder):
+    import time
+
+    began = time.perf_counter()
+    for word in ("a" * 300_000, "ab" * 150_000, "".join(random.Random(3).choice("etaoinshrdlu") for _ in range(40_000))):
+        n, ids, _ = next(encoder.encode([word]))
+        assert n == ids.count(" ") + 1
+    assert time.perf_counter() - began < 30

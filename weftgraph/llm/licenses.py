@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import if_small, stored, table
 
 THRESHOLD = 0.75
+#: Up to so many terms are looked up in place; more are joined.
+MOST_TERMS = 5000
 TOKEN = r"[\p{L}\p{N}]+(?:\.[0-9]+)?"
 #: A block without any of these isn't compared.
 MARKERS = r"(?i)licen[cs]|copyright|copying|all rights reserved|public domain|permission is hereby granted|redistribution and use"
@@ -127,11 +129,11 @@ def best_of_all(blocks: DataFrame, given: tuple[tuple[str, str], ...]) -> tuple[
     token = re.compile(TOKEN.replace(r"\p{L}\p{N}", r"^\W_"))
     ours = [(k, name, Counter(token.findall(text.lower()))) for k, (name, text) in enumerate(given)]
     vocabulary = sorted({t for _, _, tf in ours for t in tf})
-    known = F.array(*(F.lit(t) for t in vocabulary))  # the templates' terms, a few hundred
+    known = lambda x: x.isin(vocabulary)  # noqa: E731  the templates' terms, a few hundred
     split = blocks.withColumn("t", terms(F.col("block")))
 
     # counts over all blocks that share a term; '' counts the blocks themselves
-    hit = F.array_intersect("t", known)
+    hit = F.array_distinct(F.filter("t", known))
     counts = split.select(hit.alias("hit")).where(F.size("hit") > 0).select(F.explode(F.concat("hit", F.array(F.lit("")))).alias("term"))
     df = {r.term: r.n for r in counts.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a term of the templates
     total = df.get("", 0)
@@ -151,12 +153,12 @@ def best_of_all(blocks: DataFrame, given: tuple[tuple[str, str], ...]) -> tuple[
     theirs = spark.createDataFrame([(t, x) for t, x in idf.items()], "term string, idf double")
 
     # the first bound: a block has one of the probing terms
-    probing = F.array(*(F.lit(t) for t in sorted(probes)))
-    found = split.where(F.arrays_overlap("t", probing)).select("path", "__t", F.md5("block").alias("bid"), "block")
+    probing = sorted(probes)
+    found = split.where(F.exists("t", lambda x: x.isin(probing))).select("path", "__t", F.md5("block").alias("bid"), "block")
     found = stored(found, "probed")
     distinct = stored(found.select("bid", "block").distinct().select("bid", terms(F.col("block")).alias("t")), "blocks")
     # the second: known terms in full, the others by their count
-    some = distinct.select("bid", F.size("t").alias("size"), F.explode(F.filter("t", lambda x: F.array_contains(known, x))).alias("term"))
+    some = distinct.select("bid", F.size("t").alias("size"), F.explode(F.filter("t", known)).alias("term"))
     some = some.groupBy("bid", "size", "term").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(theirs), "term").withColumn("w", F.col("tf") * F.col("idf"))
     least = some.groupBy("bid", "size").agg(F.sum(F.col("w") * F.col("w")).alias("own"), F.sum("tf").alias("n"))
     dots = some.join(F.broadcast(yours), "term").groupBy("bid", "tid", "n2").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
@@ -167,7 +169,12 @@ def best_of_all(blocks: DataFrame, given: tuple[tuple[str, str], ...]) -> tuple[
     left = distinct.join(if_small(near), "bid", "left_semi").select("bid", F.explode("t").alias("term")).groupBy("bid", "term").agg(F.count(F.lit(1)).alias("tf"))
     left = stored(left, "terms")
     others = stored(left.join(F.broadcast(theirs.select("term")), "term", "left_anti").select("term").distinct(), "other-terms")
-    seen = split.where(F.arrays_overlap("t", known)).select(F.explode(F.array_distinct("t")).alias("term")).join(if_small(others), "term", "left_semi")
+    names = [r.term for r in others.limit(MOST_TERMS + 1).collect()]
+    met = split.where(F.exists("t", known))
+    if len(names) <= MOST_TERMS:
+        seen = met.select(F.explode(F.array_distinct(F.filter("t", lambda x: x.isin(names)))).alias("term"))
+    else:
+        seen = met.select(F.explode(F.array_distinct("t")).alias("term")).join(if_small(others), "term", "left_semi")
     seen = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((F.lit(float(total)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     mine = stored(left.join(theirs.unionByName(seen), "term").select("bid", "term", (F.col("tf") * F.col("idf")).alias("w")), "weights")
     n1 = mine.groupBy("bid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n1"))

@@ -16,6 +16,8 @@ from weftgraph.operators.walks import uniform_walks
 from weftgraph.plans.staging import stored
 
 ROUNDS = 20
+#: Rows of a top-k; more are ranked by leading digits first.
+AT_ONCE = 100_000
 
 
 def hash_order(seed: int, *key: str):
@@ -23,11 +25,24 @@ def hash_order(seed: int, *key: str):
 
 
 def first_in_hash_order(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
-    """The n rows least in hash order: a distributed top-k, or for a large n a rank by bins."""
-    if n <= 100_000:
-        return df.orderBy(hash_order(seed, *key), *key).limit(n)
-    ranked = numbered(df.withColumn("__h", hash_order(seed, *key)), "__h")
-    return ranked.where(F.col("n") < n).drop("n", "__h")
+    """The n rows least in hash order, then by key: a distributed top-k of AT_ONCE rows at most.
+    For a larger n the hashes' leading digits are counted first: rows below the digits at which
+    the n-th row lies are taken whole, and the top-k runs among the rows at those digits."""
+    rows, taken = df.withColumn("__h", hash_order(seed, *key)), None
+    at = ""
+    while n > AT_ONCE and len(at) < 30:
+        digits = F.substring("__h", 1, len(at) + 3)
+        counts = sorted(tuple(r) for r in rows.groupBy(digits.alias("p")).count().collect())  # 4096 rows at most
+        if sum(c for _, c in counts) <= n:
+            return (rows if taken is None else taken.unionByName(rows)).drop("__h")
+        for at, c in counts:
+            if c > n:
+                break
+            n -= c
+        below = rows.where(digits < at)
+        taken, rows = below if taken is None else taken.unionByName(below), rows.where(digits == at)
+    found = rows.orderBy("__h", *key).limit(n)
+    return (found if taken is None else taken.unionByName(found)).drop("__h")
 
 
 def positive_edges(graph: Graph, p: float, *, seed: int = 42, edge_type: str | None = None, only: DataFrame | None = None, keep_connected: bool = False) -> DataFrame:
@@ -58,7 +73,10 @@ def fresh_pairs(candidates: DataFrame, graph: Graph, n: int, master: Graph | Non
     pairs = pairs.join(adjacent_pairs(graph), ["a", "b"], "left_anti")
     if master is not None:
         pairs = pairs.join(adjacent_pairs(master), ["a", "b"], "left_anti")
-    return first_in_hash_order(pairs.select("src", "dst"), n, seed, "src", "dst")
+    pairs = pairs.select("src", "dst")
+    if n > AT_ONCE:
+        pairs = stored(pairs, "fresh")  # which is read three times
+    return first_in_hash_order(pairs, n, seed, "src", "dst")
 
 
 def global_negatives(graph: Graph, n: int, *, seed: int = 42, master: Graph | None = None, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:

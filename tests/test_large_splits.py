@@ -35,3 +35,7 @@ def same_as_sql(spark, monkeypatch, name):
 
 def test_edge_split_positives(spark, monkeypatch):
     same_as_sql(spark, monkeypatch, "edge_split_positives")
+
+
+def test_edge_split_by_date(spark, monkeypatch):
+    same_as_sql(spark, monkeypatch, "edge_split_by_date")

@@ -39,3 +39,7 @@ def test_edge_split_positives(spark, monkeypatch):
 
 def test_edge_split_by_date(spark, monkeypatch):
     same_as_sql(spark, monkeypatch, "edge_split_by_date")
+
+
+def test_edge_split_negatives_global(spark, monkeypatch):
+    same_as_sql(spark, monkeypatch, "edge_split_negatives_global")

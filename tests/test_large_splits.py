@@ -43,3 +43,7 @@ def test_edge_split_by_date(spark, monkeypatch):
 
 def test_edge_split_negatives_global(spark, monkeypatch):
     same_as_sql(spark, monkeypatch, "edge_split_negatives_global")
+
+
+def test_edge_split_negatives_local(spark, monkeypatch):
+    same_as_sql(spark, monkeypatch, "edge_split_negatives_local")

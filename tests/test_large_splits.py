@@ -47,3 +47,7 @@ def test_edge_split_negatives_global(spark, monkeypatch):
 
 def test_edge_split_negatives_local(spark, monkeypatch):
     same_as_sql(spark, monkeypatch, "edge_split_negatives_local")
+
+
+def test_train_test_split(spark, monkeypatch):
+    same_as_sql(spark, monkeypatch, "train_test_split")

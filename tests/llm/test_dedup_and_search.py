@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import ann, decontaminate, html_extract, jaccard_join, licenses, substring_dedup
+from weftgraph.llm import ann, common, decontaminate, html_extract, jaccard_join, licenses, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -395,3 +395,12 @@ def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([(k, v, "x", 1) for k, v in rows], "vec_id long, embedding array<double>, code string, score int")
     found = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.search(df, df.where("vec_id = 0")).collect())
     assert found == [(0, 1, 2, round(2**0.5, 6)), (0, 2, 1, round(26**0.5, 6))]
+
+
+def test_substring_dedup_leaves_only_texts_and_spans_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    passage = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(k, " ".join(f"h{k}.{j}" for j in range(40)) + f" {passage} t{k}") for k in range(30)], "doc_id long, text string")
+    found = substring_dedup.dedup(docs)
+    assert sorted(p.name.replace("-", "_").split("_")[0] for p in tmp_path.iterdir()) == ["spans", "texts"]
+    assert {r.n_removed for r in found.collect()} == {60}

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from weftgraph.session import deleted, shuffles_dropped
+
 #: Rows and bytes an Arrow batch may hold; with long texts a larger batch would not fit a worker.
 ARROW_ROWS = 1024
 ARROW_BYTES = 8_000_000
@@ -47,18 +49,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts lineage, survives
-    a lost executor, and is computed once however often it is used."""
+    a lost executor, and is computed once however often it is used.  The write's shuffle
+    files go with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for these frames, which nothing reads any more."""
+    for df in frames:
+        deleted(df.sparkSession, df.staged_at)
 
 
 def bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
     """``df`` stored in buckets of the keys: later joins on them move the other side only."""
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label}_{uuid.uuid4().hex}"
-    df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with shuffles_dropped(spark):
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_limits, bucketed, fresh_worker, split_join, stored, table, widened
+from weftgraph.llm.common import arrow_limits, bucketed, dropped, fresh_worker, split_join, stored, table, widened
 
 WINDOW = 35
 #: Short windows have a quarter of the length, rounded up: 9, 18, 35.
@@ -317,12 +317,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     texts = base.select(*key, "text")
 
     anchors = stored(texts.mapInArrow(anchor_rows, spot), "anchors")
-    alive = split_join(anchors, stored(repeated(anchors, "h"), "anchors-twice"), ["h"], "found", "left_semi")
+    twice = stored(repeated(anchors, "h"), "anchors-twice")
+    alive = split_join(anchors, twice, ["h"], "found", "left_semi")
     lists = alive.groupBy(*key).agg(F.collect_set("pos").alias("pos"))
     spots = stored(texts.join(lists, key).mapInArrow(half_rows, spot), "doubled")
-    alive = split_join(spots, stored(repeated(spots, "h"), "doubled-twice"), ["h"], "found", "left_semi")
+    dropped(anchors, twice)
+    twice = stored(repeated(spots, "h"), "doubled-twice")
+    alive = split_join(spots, twice, ["h"], "found", "left_semi")
     lists = alive.groupBy(*key).agg(F.collect_set("pos").alias("pos"))
     runs = stored(texts.join(lists, key).mapInArrow(run_rows, "h long, run long, did string, th long, first int, n int"), "runs")
+    dropped(spots, twice)
     kinds = stored(
         runs.groupBy("h", "run").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("did", "th", "first", "n")).alias("at")), "kinds"
     )
@@ -340,12 +344,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         split_join(windows, common, ["h", "win"], "found", "left_semi")
         .groupBy("h", "run").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"), F.max("copies").alias("copies"))
     )
-    masks = alone.unionByName(some).groupBy("h", "run").agg(F.expr("bit_or(mask)").alias("mask"), F.max("copies").alias("copies"))
+    masks = stored(alone.unionByName(some).groupBy("h", "run").agg(F.expr("bit_or(mask)").alias("mask"), F.max("copies").alias("copies")), "masks")
+    dropped(kinds, several, windows, common)
     spans = (
-        split_join(runs, stored(masks, "masks"), ["h", "run"], "copies")
+        split_join(runs, masks, ["h", "run"], "copies")
         .groupBy(*key).agg(F.collect_set(F.struct("first", "mask")).alias("s"))
         .select(*key, F.col("s.first").alias("firsts"), F.col("s.mask").alias("masks"))
     )
+    spans = stored(spans, "spans")
+    dropped(runs, masks)
     found = base.join(spans, key, "left").select("rest", "text", "firsts", "masks")
     schema = widened(docs.select(*names), n_words="long", n_removed="long", kept_text="string")
     return found.mapInArrow(removal_rows(names), schema)

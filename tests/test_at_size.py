@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from weftgraph.operators import links
+from weftgraph.operators import links, sampling
+from weftgraph.plans import staging
 
 
 def plan(df):
@@ -26,3 +27,14 @@ def test_ranks_score_in_blocks_with_ties(spark):
     found = links.rank_triples(known, known, holes, rel)
     want = links.rank_triples(known, known, holes, rel, lambda s, t, o: links.distmult(s, t, o))
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+def test_hin_bfs_numbers_reached_edges_only(spark, make_graph, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
+    kinds = {f"a{k}": "a" for k in range(3)} | {f"b{k}": "b" for k in range(3)} | {f"c{k}": "c" for k in range(3)}
+    edges = [(f"a{k}", f"b{k % 2}", "ab") for k in range(3)] + [(f"b{k}", f"c{k}", "bc") for k in range(3)] + [("a0", "lost", "ab"), ("b0", "a0", "ab")]
+    found = sampling.hin_bfs(make_graph(kinds, edges), spark.createDataFrame([("a0",), ("a1",)], "id string"), [2, 1])
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"triples", "hop"}
+    rows = found.collect()
+    assert all(r.node != "lost" for r in rows)
+    assert {r.path for r in rows if r.hop == 1} == {"a-ab-b"}

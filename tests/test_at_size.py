@@ -54,3 +54,10 @@ def test_propagation_keeps_the_last_round_only(spark, tmp_path, monkeypatch):
     found = linalg.propagate_k(*sparse_case(spark), 2, 2)
     assert folders(tmp_path) == ["propagated"]
     assert {r.id: r.features for r in found.collect()} == {"a": [1.0, -2.0], "b": [2.0, -4.0], "c": [1.0, -2.0]}
+
+
+def test_personalised_propagation_keeps_the_last_round_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
+    found = linalg.appnp(*sparse_case(spark), 2, k=2, alpha=0.5)
+    assert folders(tmp_path) == ["propagated"]
+    assert {r.id: r.features for r in found.collect()} == {"a": [0.25, -0.5], "b": [1.0, -2.0], "c": [1.0, -2.0]}

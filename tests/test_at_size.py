@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from weftgraph.operators import linalg, links, sampling
+from weftgraph.operators import layers, linalg, links, sampling
 from weftgraph.plans import staging
 
 
@@ -61,3 +61,12 @@ def test_personalised_propagation_keeps_the_last_round_only(spark, tmp_path, mon
     found = linalg.appnp(*sparse_case(spark), 2, k=2, alpha=0.5)
     assert folders(tmp_path) == ["propagated"]
     assert {r.id: r.features for r in found.collect()} == {"a": [0.25, -0.5], "b": [1.0, -2.0], "c": [1.0, -2.0]}
+
+
+def test_sparse_weights_are_written_out(spark):
+    eye = [[1.0 if i == j else 0.0 for j in range(8)] for i in range(8)]
+    adj = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a")], "i string, j string")
+    x = spark.createDataFrame([("a", [1.0] * 8), ("b", [0.0] * 8), ("c", [3.0] * 8)], "id string, features array<double>")
+    found = layers.sage_layer(adj, x, eye, eye, activation="linear")
+    assert "aggregate(" not in plan(found)
+    assert {r.id: (r.features[0], r.features[8]) for r in found.collect()} == {"a": (1.0, 1.5), "b": (0.0, 1.0), "c": (3.0, 0.0)}

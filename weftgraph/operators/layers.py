@@ -79,7 +79,14 @@ def sage_layer(
     agg = aggregator if callable(aggregator) else F.max if aggregator == "maxpool" else F.avg
     if not callable(aggregator) and aggregator not in ("mean", "meanpool", "maxpool"):
         raise GraphError(f"expected 'mean', 'meanpool' or 'maxpool', found {aggregator!r}")
-    near = adj.select("i", "j").join(x, "j").groupBy(F.col("i").alias("id")).agg(F.array(*(agg(F.col("f")[k]) for k in range(width))).alias("n"))
+    met = adj.select("i", "j").join(x, "j")
+    if agg is F.avg and x.where(F.col("f").isNull() | (F.size("f") != width) | F.exists("f", lambda v: v.isNull())).isEmpty():
+        # neighbours whose vectors are 0 count, but move no vectors
+        sums = linalg.propagated_sums(adj.select("i", "j", F.lit(1.0).alias("v")), x.select(F.col("j").alias("id"), F.col("f").alias("features")), width)
+        count = adj.select("i", "j").join(x.select("j"), "j").groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("__c"))
+        near = sums.join(count, "id").select("id", F.transform("features", lambda v: v / F.col("__c")).alias("n"))
+    else:
+        near = met.groupBy(F.col("i").alias("id")).agg(F.array(*(agg(F.col("f")[k]) for k in range(width))).alias("n"))
     rows = features.join(near, "id", "left").withColumn("n", F.coalesce("n", V.zeros(width)))
     out = F.concat(V.dense("features", own), V.dense("n", nbr))
     found = rows.select("id", V.activate(out, activation).alias("features"))

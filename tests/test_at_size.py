@@ -100,3 +100,8 @@ def without_matrix(spark, make_graph, tmp_path, monkeypatch, found, want):
 def test_convolutions_are_simplified_without_the_matrix(spark, make_graph, tmp_path, monkeypatch):
     matrix = lambda g: linalg.gcn_matrix(adjacency.adjacency_matrix(g), g.nodes)
     without_matrix(spark, make_graph, tmp_path, monkeypatch, lambda g: linalg.gcn_propagate_k(g, 2, 2), lambda g: linalg.propagate_k(matrix(g), g.nodes, 2, 2))
+
+
+def test_personalised_propagation_without_the_matrix(spark, make_graph, tmp_path, monkeypatch):
+    matrix = lambda g: linalg.gcn_matrix(adjacency.adjacency_matrix(g), g.nodes)
+    without_matrix(spark, make_graph, tmp_path, monkeypatch, lambda g: linalg.gcn_appnp(g, 2, k=2, alpha=0.125), lambda g: linalg.appnp(matrix(g), g.nodes, 2, k=2, alpha=0.125))

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from weftgraph.operators import linalg
 from weftgraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +124,8 @@ def test_layers(spark, graph, matrix):
     assert np.abs(found_features(spark, graph, "rgcn_layer_forward_whole", 2) - want).max() < 2e-6
     near = (matrix > 0) / np.maximum((matrix > 0).sum(1), 1)[:, None]
     assert np.abs(found_features(spark, graph, "sage_mean_layer_whole", 128) - np.hstack([x, near @ x])).max() < 2e-6
+
+
+def test_propagations_make_no_matrix(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "gcn_matrix", None)
+    assert catalog.QUERIES["appnp_k3_whole"](spark, SF).count() == 64 * catalog.op_graph(spark, SF).nodes.count()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, decontaminate, jaccard_join, langid, substring_dedup
-from weftgraph.llm.common import if_small, stored, table
+from weftgraph.llm.common import dropped, if_small, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose best language is less likely than this is rejected.
@@ -35,7 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own groups; of rows equal in doc_id and text the least stays; rows without a doc_id, and
     texts without words, are groups of their own; an empty table stays empty."""
     docs = docs.select(*COLUMNS)
-    found = stored(jaccard_join.join(docs), "classes-of")
+    joined = jaccard_join.join(docs)
+    found = stored(joined, "classes-of")
+    dropped(*joined.reads)
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     out = stored(found.where("doc_id <> class_id or th <> class_th").select("doc_id", "th").distinct(), "copies")
     kept = docs.withColumn("th", text_key).join(if_small(out), ["doc_id", "th"], "left_anti")

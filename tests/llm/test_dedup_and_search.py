@@ -404,3 +404,15 @@ def test_substring_dedup_leaves_only_texts_and_spans_on_disk(spark, tmp_path, mo
     found = substring_dedup.dedup(docs)
     assert sorted(p.name.replace("-", "_").split("_")[0] for p in tmp_path.iterdir()) == ["spans", "texts"]
     assert {r.n_removed for r in found.collect()} == {60}
+
+
+def test_near_duplicates_leave_no_frames_of_the_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " more"), (4, "some other text of six words"), (5, None)], "doc_id long, text string")
+    found = jaccard_join.join(docs)
+    big = {"classes", "members", "representatives", "sets", "meetings", "links", "linked"}
+    assert not big & {p.name.split("-")[0] for p in tmp_path.iterdir()}
+    assert {(r.doc_id, r.class_id, r.n_links) for r in found.collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 0), (5, 5, 0)}
+    common.dropped(*found.reads)
+    assert not {"signatures", "about"} & {p.name.split("-")[0] for p in tmp_path.iterdir()}

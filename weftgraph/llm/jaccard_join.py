@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_limits, fresh_worker, if_small, split_join, stored, table
+from weftgraph.llm.common import arrow_limits, dropped, fresh_worker, if_small, split_join, stored, table
 from weftgraph.llm.substring_dedup import Words, batches_of, joined, mix
 
 THRESHOLD = 0.8
@@ -375,7 +375,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     are judged by their texts: those of one doc_id with different texts each have their own
     links.  Texts without words (null, empty, blank) have no links and are their own class,
     as have rows without a doc_id, whose ids are null.  Repeated rows count as copies; an
-    empty table gives an empty result; other columns aren't read.
+    empty table gives an empty result; other columns aren't read.  What the frame still reads
+    is in its attribute ``reads``, to be dropped after it.
     """
     arrow_limits(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
@@ -394,10 +395,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     reps = stored(members.select("at.*").distinct(), "representatives")
     sets = base.where("doc_id is not null").join(if_small(reps), ["doc_id", "th"], "left_semi").select("text").mapInArrow(set_rows, "c1 long, c2 long, shingles binary")
     sets = stored(sets.select(F.struct("c1", "c2").alias("class"), "shingles").join(members.drop("at"), "class"), "sets")
+    dropped(members, reps)
     met = sets.join(meets, "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks").cast("long")).cast("int"))
     each = ["kind", "g1", "g2", "class.*", "copies", "bands", "crowded", "kept", "shingles", "own"]
     within = met.select(*each, F.col("own").alias("p"), F.col("own").alias("q")).repartition(*GROUP).sortWithinPartitions(*GROUP, "c1", "c2")
     links = stored(within.mapInArrow(by_group(block_links, threshold), LINKS), "links-within")
+    passed = [classes, links]
     if not meets.where("blocks > 1").isEmpty():
         # classes of different blocks, which bring the names of their blocks' components
         place = ["kind", "g1", "g2", "c1", "c2"]
@@ -406,23 +409,30 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         across = across.select(*each, F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q")).join(names, place, "left")
         across = across.withColumns({"r1": F.coalesce("r1", "c1"), "r2": F.coalesce("r2", "c2")})
         across = across.repartition(*GROUP).sortWithinPartitions(*GROUP, "c1", "c2")
-        links = links.unionByName(stored(across.mapInArrow(by_group(pair_links, threshold), LINKS), "links-across"))
+        passed.append(stored(across.mapInArrow(by_group(pair_links, threshold), LINKS), "links-across"))
+        links = links.unionByName(passed[-1])
+    dropped(sets, meets)
     links = links.select(F.struct("c1", "c2").alias("class"), F.struct(F.col("o1").alias("c1"), F.col("o2").alias("c2")).alias("other"), "links")
     count = links.groupBy("class").agg(F.sum("links").alias("links"))
     root = components(links.where("class <> other").select(F.col("class").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("class"), "root")
     # few classes have links; the others stand for themselves
     linked = stored(root.join(classes.select("class", "at", "copies"), "class").join(count, "class").select("class", "root", "links", "at"), "linked")
+    passed.append(linked)
     linked = linked.join(linked.groupBy("root").agg(F.min("at").alias("least")), "root").select("class", "least", "links")
     about = classes.join(linked, "class", "left").select(
         "class.*", F.col("at.doc_id").alias("copy_id"), F.coalesce("least", "at").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"
     )
     key = F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.lit(True))
     rows = signed.select("doc_id", "th", F.when(key, F.col("c1")).alias("c1"), F.when(key, F.col("c2")).alias("c2"))
-    found = split_join(rows.where(key), stored(about, "about"), ["c1", "c2"], "copies")
+    about = stored(about, "about")
+    dropped(*passed)
+    found = split_join(rows.where(key), about, ["c1", "c2"], "copies")
     none = signed.where(~F.coalesce(key, F.lit(False))).select("doc_id", "th")
-    return found.select("doc_id", "th", F.col("least.doc_id").alias("class_id"), F.col("least.th").alias("class_th"), "copy_id", "n_links").unionByName(
+    out = found.select("doc_id", "th", F.col("least.doc_id").alias("class_id"), F.col("least.th").alias("class_th"), "copy_id", "n_links").unionByName(
         none.select("doc_id", "th", F.col("doc_id").alias("class_id"), F.col("th").alias("class_th"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     )
+    out.reads = (signed, about)
+    return out
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

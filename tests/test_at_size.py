@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from weftgraph.operators import adjacency, layers, linalg, links, sampling
+from weftgraph.operators import adjacency, batches, layers, linalg, links, sampling
 from weftgraph.plans import staging
 
 
@@ -105,3 +105,15 @@ def test_convolutions_are_simplified_without_the_matrix(spark, make_graph, tmp_p
 def test_personalised_propagation_without_the_matrix(spark, make_graph, tmp_path, monkeypatch):
     matrix = lambda g: linalg.gcn_matrix(adjacency.adjacency_matrix(g), g.nodes)
     without_matrix(spark, make_graph, tmp_path, monkeypatch, lambda g: linalg.gcn_appnp(g, 2, k=2, alpha=0.125), lambda g: linalg.appnp(matrix(g), g.nodes, 2, k=2, alpha=0.125))
+
+
+def test_hinsage_moves_reached_edges_and_features_other_than_0(spark, make_graph, monkeypatch):
+    kinds = {f"a{k}": ("a", [0.0, 0.0]) for k in range(3)} | {f"b{k}": ("b", [float(k), 1.0]) for k in range(3)}
+    graph = make_graph(kinds, [(f"a{k}", f"b{j}", "ab") for k in range(3) for j in range(k + 1)])
+    heads = spark.createDataFrame([("a0",), ("a2",)], "id string")
+    want = sorted(map(str, batches.hinsage_nodes(graph, heads, [2, 2], 2).collect()))
+    monkeypatch.setattr(sampling, "BROADCAST_ROWS", 0, raising=False)
+    reached = heads.selectExpr("id as node", "'a' as node_type")
+    assert "xxhash64" in plan(sampling.typed_halves(graph, sampling.type_triples(graph), reached, graph.nodes.select("id", "type")))
+    found = batches.hinsage_nodes(graph, heads, [2, 2], 2)
+    assert sorted(map(str, found.collect())) == want and len(want) == 6

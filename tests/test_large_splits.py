@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from weftgraph.operators import splitter
-from weftgraph.plans import catalog
+from weftgraph.plans import catalog, staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,5 +49,14 @@ def test_edge_split_negatives_local(spark, monkeypatch):
     same_as_sql(spark, monkeypatch, "edge_split_negatives_local")
 
 
+def test_local_negatives_leave_only_their_result(spark, make_graph, monkeypatch, tmp_path):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(splitter, "AT_ONCE", 7)
+    ring = make_graph(dict.fromkeys(range(12), "x"), [(i, (i + 1) % 12) for i in range(12)])
+    got = splitter.local_negatives(ring, 24, seed=3)  # 12 roots, one walk each in the first round: more rounds are needed
+    assert got.distinct().count() == 24
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["negatives"]
+
+
 def test_train_test_split(spark, monkeypatch):
     same_as_sql(spark, monkeypatch, "train_test_split")

@@ -102,6 +102,22 @@ def test_split_keeps_connected(make_graph):
     assert all(abs(int(r.src) - int(r.dst)) > 1 for r in local.collect())
 
 
+@pytest.mark.parametrize("longest", [1, 3, 8])
+def test_simple_ends_are_those_of_uniform_walks(make_graph, longest):
+    """Loops, parallel edges, an end, a node without edges, and walks longer than one plan."""
+    g = make_graph(dict.fromkeys(range(12), "x"), [*LINE, (0, 0), (3, 4), (3, 4), (0, 5), (2, 9), (1, 7), (4, 10)])
+    walked = paths(walks.uniform_walks(g, g.nodes, n=6, length=longest + 1, seed=5))
+    depth_of = lambda root, walk: 1 + (int(root) + walk) % longest
+    want = []
+    for (root, walk), nodes in walked.items():
+        upto = nodes[: depth_of(root, walk) + 1]
+        if len(set(upto)) == depth_of(root, walk) + 1:
+            want.append((root, upto[-1]))
+    depth = (1 + (F.col("root").cast("int") + F.col("walk")) % longest).cast("int")
+    found = walks.simple_ends(walks.step_table(g), g.nodes, depth, longest, n=6, seed=5)
+    assert sorted((r.root, r.node) for r in found.collect()) == sorted(want) and want
+
+
 def test_sampler_balances(make_graph):
     g = make_graph(dict.fromkeys(range(10), "x"), LINE)
     found = {r.label: r["count"] for r in sampling.unsupervised_samples(g, walks.uniform_walks(g, g.nodes, n=2, length=2)).groupBy("label").count().collect()}

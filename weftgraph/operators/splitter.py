@@ -12,8 +12,8 @@ from weftgraph.functions.rng import draw
 from weftgraph.graph import Graph, GraphError
 from weftgraph.operators.components import spanning_forest
 from weftgraph.operators.sampling import numbered
-from weftgraph.operators.walks import uniform_walks
-from weftgraph.plans.staging import stored
+from weftgraph.operators.walks import simple_ends, step_table
+from weftgraph.plans.staging import dropped, stored
 
 ROUNDS = 20
 #: Rows of a top-k; more are ranked by leading digits first.
@@ -67,7 +67,7 @@ def adjacent_pairs(graph: Graph) -> DataFrame:
 
 
 def fresh_pairs(candidates: DataFrame, graph: Graph, n: int, master: Graph | None, seed: int) -> DataFrame:
-    """Up to n distinct candidates (src, dst) that are neither loops nor adjacent."""
+    """Up to n distinct candidates (src, dst) that are neither loops nor adjacent, written out."""
     pairs = candidates.where("src <> dst").select("src", "dst", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
     pairs = pairs.groupBy("a", "b").agg(F.min(F.struct("src", "dst")).alias("m")).select("a", "b", "m.src", "m.dst")
     pairs = pairs.join(adjacent_pairs(graph), ["a", "b"], "left_anti")
@@ -76,7 +76,9 @@ def fresh_pairs(candidates: DataFrame, graph: Graph, n: int, master: Graph | Non
     pairs = pairs.select("src", "dst")
     if n > AT_ONCE:
         pairs = stored(pairs, "fresh")  # which is read three times
-    return first_in_hash_order(pairs, n, seed, "src", "dst")
+    got = stored(first_in_hash_order(pairs, n, seed, "src", "dst"), "negatives")
+    dropped(pairs)
+    return got
 
 
 def global_negatives(graph: Graph, n: int, *, seed: int = 42, master: Graph | None = None, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
@@ -93,9 +95,10 @@ def global_negatives(graph: Graph, n: int, *, seed: int = 42, master: Graph | No
         )
         met = tries.join(left.select(F.col("id").alias("src"), F.col("n").alias("ns")), "ns").join(right.select(F.col("id").alias("dst"), F.col("n").alias("nt")), "nt").select("src", "dst")
         found = met if found is None else found.unionByName(met)
-        got = stored(fresh_pairs(found, graph, n, master, seed), "negatives")
+        got = fresh_pairs(found, graph, n, master, seed)
         if got.count() == n:
             return got
+        dropped(got)
     raise GraphError(f"could not sample {n} negative pairs in {ROUNDS} rounds")
 
 
@@ -108,22 +111,24 @@ def local_negatives(
     and ``targets`` if given."""
     if abs(sum(probs) - 1) > 1e-9 or any(x < 0 for x in probs):
         raise GraphError("expected probs to be at least 0 and to add up to 1")
-    found = None
+    onward, found, rounds = step_table(graph), None, []
     for r in range(ROUNDS):
-        walks = uniform_walks(graph, sources if sources is not None else graph.nodes.select("id"), n=1 + r, length=len(probs) + 1, seed=seed + r)
-        u, below = draw(seed + r, F.lit("depth"), "root", "walk"), 0.0
+        u = draw(seed + r, F.lit("depth"), "root", "walk")
         depth = F.lit(len(probs))
         for k in range(len(probs) - 1, -1, -1):
             depth = F.when(u < sum(probs[: k + 1]), F.lit(k + 1)).otherwise(depth)
-        # of the nodes up to the depth, as many are different
-        far = walks.withColumn("depth", depth).where("step <= depth").groupBy("root", "walk", "depth").agg(F.count_distinct("node").alias("nodes"), F.max_by("node", "step").alias("dst"))
-        met = far.where("nodes = depth + 1").select(F.col("root").alias("src"), "dst")
+        met = simple_ends(onward, sources if sources is not None else graph.nodes.select("id"), depth, len(probs), n=1 + r, seed=seed + r)
+        met = met.select(F.col("root").alias("src"), F.col("node").alias("dst"), "degree")  # degrees, too, so that each step reads the same shuffle
         if targets is not None:
-            met = met.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+            met = met.join(targets.select(F.col("id").alias("dst")), "dst", "left_semi")
+        rounds.append(stored(met, "ends"))
+        met = rounds[-1].select("src", "dst")
         found = met if found is None else found.unionByName(met)
-        got = stored(fresh_pairs(found, graph, n, master, seed), "negatives")
+        got = fresh_pairs(found, graph, n, master, seed)
         if got.count() == n:
+            dropped(onward, *rounds)
             return got
+        dropped(got)
     raise GraphError(f"could not sample {n} negative pairs in {ROUNDS} rounds")
 
 

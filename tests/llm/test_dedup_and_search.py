@@ -172,6 +172,15 @@ def test_decontamination_keeps_short_items_and_null_ids(spark):
     assert [tuple(r) for r in decontaminate.contained(docs, bench).collect()] == [(None, None, 2, 2)]
 
 
+def test_decontamination_stores_only_frames_that_cost_a_join_or_a_group(spark, monkeypatch):
+    labels = []
+    monkeypatch.setattr(decontaminate, "stored", lambda df, label: labels.append(label) or common.stored(df, label))
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "six five four three two one")], "item_id long, text string")
+    docs = frame(spark, [(1, "zero one two three four five six seven"), (2, "one two three four"), (3, None)])
+    assert [tuple(r) for r in decontaminate.contained(docs, bench).collect()] == [(1, 1, 2, 2)]
+    assert labels == ["items", "sketches", "candidates", "wanted"]
+
+
 def test_sketch_sizes_hold_their_recall():
     from math import comb
 

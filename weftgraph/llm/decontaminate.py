@@ -107,17 +107,17 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, *
     tokens = texts.select("doc", words(F.col("text")).alias("t"))
     hashes = [shingle_hashes(F.col("t"), n) for n in lengths]
     held = tokens.select("doc", F.explode(F.concat(*hashes) if len(hashes) > 1 else hashes[0]).alias("h"))
-    keys = stored(sketch.select("h").distinct(), "sketch-hashes")
-    hits = held.join(if_small(keys), "h", "left_semi")
+    # what a projection or a distinct gives of a stored frame is read from it again: a small write
+    # takes longer, and on a local folder each of its files starts three processes of the executor
+    hits = held.join(if_small(sketch.select("h").distinct()), "h", "left_semi")
     # a hot shingle meets its items after its documents' duplicates are gone
-    pairs = stored(hits.distinct().join(if_small(stored(sketch, "sketch")), "h").select("doc", "item").distinct(), "candidates")
+    pairs = stored(hits.distinct().join(if_small(sketch), "h").select("doc", "item").distinct(), "candidates")
 
     wanted = stored(item.join(pairs.select("item").distinct(), "item", "left_semi").select("item", "h", "s"), "wanted")
-    doc_ids = stored(pairs.select("doc").distinct(), "candidate-documents")
-    near = texts.join(if_small(doc_ids), "doc", "left_semi").select("doc", words(F.col("text")).alias("t"))
+    near = texts.join(if_small(pairs.select("doc").distinct()), "doc", "left_semi").select("doc", words(F.col("text")).alias("t"))
     each = [shingles(F.col("t"), n) for n in lengths]
     near = near.select("doc", F.inline(F.concat(*each) if len(each) > 1 else each[0]))
-    near = near.join(if_small(stored(wanted.select("h").distinct(), "wanted-hashes")), "h", "left_semi").select("doc", "s").distinct()
+    near = near.join(if_small(wanted.select("h").distinct()), "h", "left_semi").select("doc", "s").distinct()
     matched = (
         near.join(if_small(wanted.select("item", "s")), "s").join(pairs, ["doc", "item"], "left_semi")
         .groupBy("doc", "item").agg(F.count(F.lit(1)).alias("matched"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
+
+from pyspark.sql import functions as F
 
 from weftgraph.operators import adjacency, batches, layers, linalg, links, sampling
 from weftgraph.plans import staging
@@ -107,6 +110,49 @@ def test_personalised_propagation_without_the_matrix(spark, make_graph, tmp_path
     without_matrix(spark, make_graph, tmp_path, monkeypatch, lambda g: linalg.gcn_appnp(g, 2, k=2, alpha=0.125), lambda g: linalg.appnp(matrix(g), g.nodes, 2, k=2, alpha=0.125))
 
 
+def path_with_vectors(make_graph, seeds):
+    vectors = {n: [float(n), -1.5, 0.0, 0.25 * n, 1.0, 2.0, -3.0, 1 / (n + 1)] for n in seeds}
+    return make_graph({str(n): ("n", vectors.get(n, [0.0] * 8)) for n in range(12)}, [(n, n + 1) for n in range(9)] + [(0, 1), (1, 0), (3, 3)])
+
+
+def by_node(df):
+    return {r.id: [round(v, 12) for v in r.features] for r in df.collect()}
+
+
+def by_matrix(graph, k, alpha):
+    return by_node(linalg.appnp(linalg.gcn_matrix(adjacency.adjacency_matrix(graph), graph.nodes), graph.nodes, 8, k=k, alpha=alpha))
+
+
+def test_personalised_propagation_stores_no_vectors_but_those_given(spark, make_graph, tmp_path, monkeypatch):
+    graph = path_with_vectors(make_graph, (2, 3, 11))
+    want = by_matrix(graph, 3, 0.125)
+    assert len(want) == 12
+    for most, hashes in ((200_000, 10), (0, 10), (0, 0)):
+        path = tmp_path / f"{most}-{hashes}"
+        path.mkdir()
+        monkeypatch.setattr(staging, "shared_dir", lambda _: str(path))
+        monkeypatch.setattr(linalg, "BROADCAST_ROWS", most, raising=False)
+        monkeypatch.setattr(linalg, "ID_HASHES", hashes, raising=False)
+        found = linalg.gcn_appnp(graph, 8, k=3, alpha=0.125)
+        assert folders(path) == ["coefficients", "degrees", "seeds"]
+        assert by_node(found) == want
+
+
+def test_personalised_propagation_takes_vectors_where_coefficients_are_many(spark, make_graph, tmp_path, monkeypatch):
+    cases = [(range(12), 6, 0.1), (range(12), 1, 0.0), ((5,), 2, 1.0), ((), 2, 0.1), ((5,), 0, 0.1)]
+    graphs = [path_with_vectors(make_graph, seeds) for seeds, _, _ in cases]
+    wants = [by_matrix(graph, k, alpha) for graph, (_, k, alpha) in zip(graphs, cases)]
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
+    found = linalg.gcn_appnp(graphs[0], 8, k=6, alpha=0.1)
+    assert folders(tmp_path) == ["propagated"] and by_node(found) == wants[0]
+    for graph, want, (_, k, alpha) in list(zip(graphs, wants, cases))[1:]:
+        assert by_node(linalg.gcn_appnp(graph, 8, k=k, alpha=alpha)) == want
+    odd = graphs[2].nodes.withColumn("features", F.when(F.col("id") == "5", F.transform("features", lambda v: F.when(v > -3, v))).otherwise(F.col("features")))
+    graph = replace(graphs[2], nodes=odd)
+    want = [str(r) for r in linalg.appnp(linalg.gcn_matrix(adjacency.adjacency_matrix(graph), graph.nodes), graph.nodes, 8, k=2, alpha=0.1).orderBy("id").collect()]
+    assert [str(r) for r in linalg.gcn_appnp(graph, 8, k=2, alpha=0.1).orderBy("id").collect()] == want
+
+
 def test_hinsage_moves_reached_edges_and_features_other_than_0(spark, make_graph, monkeypatch):
     kinds = {f"a{k}": ("a", [0.0, 0.0]) for k in range(3)} | {f"b{k}": ("b", [float(k), 1.0]) for k in range(3)}
     graph = make_graph(kinds, [(f"a{k}", f"b{j}", "ab") for k in range(3) for j in range(k + 1)])

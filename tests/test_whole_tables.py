@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from weftgraph.operators import linalg
-from weftgraph.plans import catalog
+from weftgraph.plans import catalog, staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,3 +129,10 @@ def test_layers(spark, graph, matrix):
 def test_propagations_make_no_matrix(spark, monkeypatch):
     monkeypatch.setattr(linalg, "gcn_matrix", None)
     assert catalog.QUERIES["appnp_k3_whole"](spark, SF).count() == 64 * catalog.op_graph(spark, SF).nodes.count()
+
+
+def test_personalised_propagation_stores_no_round_of_vectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
+    found = catalog.QUERIES["appnp_k3_whole"](spark, SF.replace("sf0.001", "sf0.01"))
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["coefficients", "degrees", "seeds"]
+    assert found.select("id").distinct().count() == 17_000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -153,6 +154,24 @@ def test_personalised_propagation_takes_vectors_where_coefficients_are_many(spar
     assert [str(r) for r in linalg.gcn_appnp(graph, 8, k=2, alpha=0.1).orderBy("id").collect()] == want
 
 
+def test_personalised_propagation_sends_coefficients_without_a_factor(spark, make_graph):
+    graph = path_with_vectors(make_graph, (2, 3, 11))
+    found = linalg.gcn_appnp(graph, 8, k=3, alpha=0.125)
+    assert "REPARTITION_BY_NUM" in plan(found) and not re.search(r"\bw#", plan(found))
+    assert by_node(found) == by_matrix(graph, 3, 0.125)
+
+
+def test_degrees_shuffle_one_end_of_the_edges_at_a_time(make_graph, monkeypatch):
+    written = []
+    monkeypatch.setattr(linalg, "stored", lambda df, label: written.append(plan(df)) or staging.stored(df, label))
+    graph = make_graph({k: "n" for k in "abcd"}, [("a", "b"), ("a", "b"), ("b", "a"), ("c", "c"), ("b", "c")])
+    assert {r.id: r.d for r in linalg.GcnColumns.of(graph).degrees.collect()} == {"a": 4.0, "b": 5.0, "c": 2.0, "d": 1.0}
+    assert [p.count("ExistingRDD[eid") for p in written] == [1, 1]
+    assert linalg.GcnColumns.of(make_graph({"a": "n"}, [("a", "lost")])) is None and linalg.GcnColumns.of(make_graph({"a": "n"}, [("lost", "a")])) is None
+    holes = replace(graph, edges=graph.edges.withColumn("dst", F.when(F.col("dst") != "c", F.col("dst"))))
+    assert linalg.GcnColumns.of(holes) is None
+
+
 def test_hinsage_moves_reached_edges_and_features_other_than_0(spark, make_graph, monkeypatch):
     kinds = {f"a{k}": ("a", [0.0, 0.0]) for k in range(3)} | {f"b{k}": ("b", [float(k), 1.0]) for k in range(3)}
     graph = make_graph(kinds, [(f"a{k}", f"b{j}", "ab") for k in range(3) for j in range(k + 1)])
